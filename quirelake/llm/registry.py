@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import decontaminate, exact_dedup, simhash
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.SQL,
+    "op5_benchmark_decontamination": decontaminate.SQL,
 }
