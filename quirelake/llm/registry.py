@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, simhash
+from . import decontaminate, exact_dedup, langid, simhash
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
+    "op8_language_id": langid.op8_language_id,
 }
 
 ORACLE_SQL = {
