@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, simhash
+from . import decontaminate, exact_dedup, langid, packing, simhash
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
