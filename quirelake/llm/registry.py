@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, packing, simhash
+from . import decontaminate, exact_dedup, html_extract, langid, packing, simhash
 
 QUERIES = {
+    "op1_html_extraction": html_extract.op1_html_extraction,
     "op2_packing": packing.op2_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
