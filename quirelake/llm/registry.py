@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, langid, packing, simhash
+from . import decontaminate, exact_dedup, html_extract, langid, line_dedup, packing, simhash
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
     "op2_packing": packing.op2_packing,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_line_dedup": line_dedup.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
 }
