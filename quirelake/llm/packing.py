@@ -7,7 +7,8 @@ dynamic program prices. Rounded patterns are then filled with the ranked pieces
 
 from __future__ import annotations
 
-import re
+import base64
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,47 +25,38 @@ from .shared import staged, table
 CAPACITY, WIDTH, BUCKETS = 2048, 8, 1024
 #: The id that ends a document.
 END = 1
-#: Words whose ids a worker remembers.
-REMEMBERED = 300_000
-_INSIDE_GAP = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S)(?= )")
-
+# Fixed value: how the byte-level vocabulary cuts a text before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's pre-tokenizer never joins what precedes a space to what follows it, so a text
-    is cut before each space that follows a character which is no white space, and the ids of each
-    part are remembered.
+    Where the ranks of the same byte-level vocabulary lie beside it, they are used: they give the
+    same ids in a fraction of the time. Texts that hold an added token's string, and vocabularies
+    without ranks, go through `tokenizers`.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.ranks = Tokenizer.from_file(path), None
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        if os.path.exists(beside := path.removesuffix(".json") + ".tiktoken"):
+            import tiktoken
+
+            with open(beside, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = []
+        out = []
         for text in texts:
-            if _INSIDE_GAP.search(text):
-                parts.append(_CUT.split(text))
+            if self.ranks is None or any(x in text for x in self.added):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             else:
-                first, *rest = text.split(" ")
-                parts.append([first, *[" " + x for x in rest]])
-        new = {x for part in parts for x in part if x not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {x for part in parts for x in part}
-        new = list(new)
-        for k in range(0, len(new), 20000):
-            some = new[k : k + 20000]
-            for x, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[x] = np.array(found.ids, "<u4").tobytes()
-        ids = self.known
-        return [b"".join([ids[x] for x in part]) for part in parts]
+                out.append(self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes())
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

@@ -32,7 +32,7 @@ def test_knapsack_and_patterns():
 def test_encoder_equals_whole_text():
     whole = Tokenizer.from_file(PATH)
     encode = K.Encoder(PATH)
-    for text in ["", " ", "  a", "a  b\n c", "é  x\t y", "it's 10 o'clock\n\n\n end ", " lead", "a  b 　c", "x" * 5000, "don't  'll 've", "\x1c a\x1f b", "\r\n a \r\nb"]:
+    for text in ["", " ", "  a", "a  b\n c", "é  x\t y", "it's 10 o'clock\n\n\n end ", " lead", "a  b 　c", "x" * 5000, "don't  'll 've", "\x1c a\x1f b", "\r\n a \r\nb", "q <|endoftext|> r", "zebra" * 100000]:
         assert encode([text])[0] == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
