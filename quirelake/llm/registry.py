@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, langid, line_dedup, packing, simhash
+from . import decontaminate, exact_dedup, html_extract, langid, license_scan, line_dedup, packing, simhash
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
+    "op7_license_scan": license_scan.op7_license_scan,
     "op8_language_id": langid.op8_language_id,
 }
 
@@ -18,4 +19,5 @@ ORACLE_SQL = {
     "op3_line_dedup": line_dedup.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
+    "op7_license_scan": license_scan.SQL,
 }
