@@ -18,6 +18,9 @@ LOWER[65:91] += 32
 #: Bytes of words: digits, letters and all that is not ASCII.
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
+#: Bytes of words that ASCII white space separates.
+SPACED = np.ones(256, bool)
+SPACED[[9, 10, 11, 12, 13, 32]] = False
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -86,9 +89,9 @@ def winnow(g: np.ndarray, group: np.ndarray, last: np.ndarray, w: int) -> np.nda
 class Words:
     """data: lower-cased bytes; of each word starts, ends, doc (row within the column slice), hash."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, word: np.ndarray = WORD):
         self.data = LOWER[data]
-        inside = WORD[self.data]
+        inside = word[self.data]
         before = np.empty_like(inside)
         before[:1], before[1:] = False, inside[:-1]
         before[bounds[:-1][bounds[:-1] < len(data)]] = False
