@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, langid, license_scan, line_dedup, lm, packing, simhash
+from . import decontaminate, exact_dedup, html_extract, langid, license_scan, line_dedup, lm, packing, simhash, suffix_dedup
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_language_id": langid.op8_language_id,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_lm_scoring": lm.op10_lm_scoring,
 }
 
