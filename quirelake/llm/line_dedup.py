@@ -46,9 +46,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(text_of(text_col)))))
     full = F.filter(_lines(text_of(text_col)), lambda x: ~_blank(x))
-    sums = F.transform(full, lambda x: F.md5(x))
-    prints = F.transform(full, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("at")))
-    rows = docs.select(F.col(id_col).alias("id"), key.alias("k"), _shifted(sums, run, lambda a, b: F.concat(a, b)).alias("run"), _shifted(prints, run, lambda a, b: F.least(a, b)).alias("least")).where(F.size("run") > 0)
+    # inline() keeps the optimizer from repeating the split in each use of its result
+    marks = F.transform(full, lambda x, i: F.struct(F.md5(x).alias("sum"), F.struct(F.xxhash64(x).alias("h"), i.alias("at")).alias("print")))
+    rows = docs.select(F.col(id_col).alias("id"), key.alias("k"), F.inline(F.array(F.struct(marks.alias("marks"))))).where(F.size("marks") >= run)
+    rows = rows.select("id", "k", _shifted(F.col("marks.sum"), run, lambda a, b: F.concat(a, b)).alias("run"), _shifted(F.col("marks.print"), run, lambda a, b: F.least(a, b)).alias("least"))
     places = staged(
         rows.select("id", "k", F.posexplode(F.arrays_zip("run", "least")).alias("p", "x")).select(
             "id", "k", "p", F.unhex(F.md5("x.run")).alias("run"), F.col("x.least.h").alias("h"), F.col("x.least.at").alias("at")
@@ -65,7 +66,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # lines are columns of the join's input, so no lambda below splits a text again
     split = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text_col], F.lit(0).alias("_")).alias("row"), key.alias("k"), _lines(F.col(text_col)).alias("lines"))
     split = split.withColumn("held", F.filter(F.transform("lines", lambda x, i: F.when(~_blank(x), i)), lambda i: i.isNotNull()))
-    joined = split.join(gone, "k", "left")
+    joined = split.join(gone.hint("merge"), "k", "left")
     out = F.transform("gone", lambda i: F.element_at("held", i + 1))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), out)
     kept = F.transform(left, lambda i: F.element_at("lines", i + 1))
