@@ -32,6 +32,12 @@ def _shifted(array: Column, n: int, merge) -> Column:
     return F.slice(reduce(lambda z, j: F.zip_with(z, F.slice(array, j + 1, F.greatest(F.size(array) - j, F.lit(0))), merge), range(1, n), array), 1, size)
 
 
+def _met(rows: DataFrame, folded: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A join that deals both sides anew, by one key more than folded was dealt by, so Spark can split a hot key."""
+    again = F.shiftright("h", 1)
+    return rows.withColumn("_h", again).join(folded.withColumn("_h", again), [*on, "_h"], how).drop("_h")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """docs with text_col rid of repeated runs, and _n_lines, _n_removed.
 
@@ -43,6 +49,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Each step folds what it can before a shuffle: fingerprints are counted and first places are
     taken in the map tasks, so a line that a third of the documents hold sends one row per task.
+    Places are written once; the rest is one query.
     """
     key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(text_of(text_col)))))
     full = F.filter(_lines(text_of(text_col)), lambda x: ~_blank(x))
@@ -57,12 +64,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "places",
     )
     # a fingerprint that neighbouring runs share is one position
-    chosen = places.where(F.col("at").isNotNull()).groupBy("h").agg(F.min(F.xxhash64("k", "at")).alias("a"), F.max(F.xxhash64("k", "at")).alias("b"))
-    repeated = staged(chosen.where("a <> b").select("h"), "repeated")
-    met = staged(places.join(repeated, "h", "left_semi"), "met")
+    chosen = places.groupBy("h").agg(F.min(F.xxhash64("k", "at")).alias("a"), F.max(F.xxhash64("k", "at")).alias("b"))
+    met = _met(places, chosen.where("a <> b").select("h"), ["h"], "left_semi")
     first = met.groupBy("h", "run").agg(F.min(F.struct("id", "k", "p")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "run", "first")
-    later = met.join(staged(first, "first"), ["h", "run"]).where(F.struct("id", "k", "p") > F.col("first"))
-    gone = staged(later.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("p", F.col("p") + run - 1)))).alias("gone")), "gone")
+    later = _met(met, first, ["h", "run"], "inner").where(F.struct("id", "k", "p") > F.col("first"))
+    gone = later.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("p", F.col("p") + run - 1)))).alias("gone"))
     # lines are columns of the join's input, so no lambda below splits a text again
     split = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text_col], F.lit(0).alias("_")).alias("row"), key.alias("k"), _lines(F.col(text_col)).alias("lines"))
     split = split.withColumn("held", F.filter(F.transform("lines", lambda x, i: F.when(~_blank(x), i)), lambda i: i.isNotNull()))
