@@ -1,6 +1,6 @@
-"""The queries over the supplied tables and their SQL."""
+"""All queries over the supplied tables."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import joins, outlines, positions, streams, texts  # noqa: F401
+from .catalog import ORACLE_SQL, QUERIES  # noqa: F401
