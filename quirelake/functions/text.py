@@ -76,8 +76,8 @@ def prefixed(html: Column, chapter: Column) -> Column:
     out = html
     for pattern in (r"([\s\"']id=\")([^\"]+\")", r"([\s\"']id=')([^']+')", r"(href=\"#)([^\"]+\")", r"(href='#)([^']+')"):
         out = F.regexp_replace(out, F.lit("(?i)" + pattern), F.concat(F.lit("$1"), mark, F.lit("$2")))
-    named = F.regexp_replace(out, F.lit(r"(?i)<a(?![^>]*id=)(\s[^>]*name\s*=\s*[\"'])([^\"']+)([\"'][^>]*>)"), F.concat(F.lit('<a id="'), mark, F.lit('$2"$1'), mark, F.lit("$2$3")))
-    return F.regexp_replace(named, F.lit(r"(?i)<a(?!\sid=\"ch[0-9]+--)(?=[^>]*id=)(\s[^>]*name\s*=\s*[\"'])([^\"']+)([\"'][^>]*>)"), F.concat(F.lit("<a$1"), mark, F.lit("$2$3")))
+    named = F.regexp_replace(out, F.lit(r"(?i)(<a\s[^>]*\bname\s*=\s*[\"'])([^\"']+[\"'])"), F.concat(F.lit("$1"), mark, F.lit("$2")))
+    return F.regexp_replace(named, r"(?i)<a(?![^>]*id=)(\s[^>]*\bname\s*=\s*[\"'])([^\"']+)([\"'][^>]*>)", '<a id="$2"$1$2$3')
 
 
 def percent_decoded(text: Column) -> Column:
