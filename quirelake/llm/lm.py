@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from urllib.parse import urlparse
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hashfiles import Files, cuts, joined, local_folder, runs, write
 from .shared import stage_path, table, text_of
 from .words import SPACED, Words, chunks, mixed
 
@@ -27,14 +27,6 @@ FOLD, SHARD_BYTES = 3 << 20, 24 << 20
 WORD_SHARDS = 64
 
 
-def local_folder(path: str) -> str:
-    """The shared folder as a path that workers can map; it has to be mounted."""
-    url = urlparse(path)
-    if url.scheme not in ("", "file"):
-        raise ValueError(f"the model is mapped into memory, so spark.checkpoint.dir has to be a mounted folder, not {url.scheme}://")
-    return url.path
-
-
 def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes of a chunk of texts, each followed by its end; what precedes each; tokens of each text."""
     words = Words(data, bounds, SPACED)
@@ -63,20 +55,6 @@ def pair_key(v: np.ndarray, w: np.ndarray, grid: int) -> np.ndarray:
     return shard_of(v, w, grid) << (np.uint64(64) - bits) | spread >> bits
 
 
-def _runs(x: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
-
-
-def _write(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """Written aside and renamed, so a task that runs again or twice leaves whole files."""
-    for field_name, x in arrays.items():
-        path = f"{folder}/{name}-{field_name}"
-        aside = f"{path}.{os.getpid()}.{os.urandom(4).hex()}"
-        with open(aside, "wb") as out:
-            out.write(np.ascontiguousarray(x).tobytes())
-        os.replace(aside, path)
-
-
 _PAIRS = pa.schema([("shard", pa.int32()), ("v", pa.binary()), ("n", pa.binary()), ("w", pa.binary()), ("c", pa.binary())])
 _WORDS = pa.schema([("shard", pa.int32()), ("role", pa.int32()), ("key", pa.binary()), ("values", pa.binary())])
 
@@ -91,23 +69,18 @@ def _fold(v: np.ndarray, w: np.ndarray, grid: int) -> pa.RecordBatch:
     shard = shard_of(v, w, grid).astype(np.int32)
     order = np.argsort(shard, kind="stable")
     shard, v, w, c = shard[order], v[order], w[order], c[order]
-    cuts = [*_runs(shard).tolist(), len(shard)]
     rows = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        runs = _runs(v[a:b])
-        rows.append((int(shard[a]), v[a:b][runs].tobytes(), np.diff(np.r_[runs, b - a]).astype(np.uint32).tobytes(), w[a:b].tobytes(), c[a:b].tobytes()))
+    for a, b in cuts(shard):
+        at = runs(v[a:b])
+        rows.append((int(shard[a]), v[a:b][at].tobytes(), np.diff(np.r_[at, b - a]).astype(np.uint32).tobytes(), w[a:b].tobytes(), c[a:b].tobytes()))
     return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _PAIRS, strict=True)], schema=_PAIRS)
 
 
-def _joined(column, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_py(), kind) for x in column])
-
-
 def _grouped(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Distinct keys, sorted, and the sums of their values."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    at = _runs(keys)
+    at = runs(keys)
     return keys[at], [np.add.reduceat(x[order], at) for x in values]
 
 
@@ -122,46 +95,23 @@ class Model:
     pairs: int
     discounts: dict[int, np.ndarray]  # of bigram counts (2) and of continuation counts (1), for 0, 1, 2, 3 and more
     unseen: float  # the share of the unigrams that goes to the uniform distribution
-    maps: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def _array(self, name: str, kind) -> np.ndarray:
-        if name not in self.maps:
-            path = f"{self.folder}/{name}"
-            self.maps[name] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
-        return self.maps[name]
-
-    def _find(self, prefix: str, bits: int, keys: np.ndarray, fields: dict[str, type]) -> list[np.ndarray]:
-        """The fields of sorted distinct keys, 0 where there is none; a shard is the first bits of a key."""
-        out = [np.zeros(len(keys), kind) for kind in fields.values()]
-        shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-        cuts = [*_runs(shard).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            held = self._array(f"{prefix}-{shard[a]}-key", np.uint64)
-            if len(held):
-                at = np.minimum(np.searchsorted(held, keys[a:b]), len(held) - 1)
-                hit = np.flatnonzero(held[at] == keys[a:b])
-                for x, (name, kind) in zip(out, fields.items(), strict=True):
-                    x[a + hit] = self._array(f"{prefix}-{shard[a]}-{name}", kind)[at[hit]]
-        return out
-
-    def of_words(self, keys: np.ndarray) -> list[np.ndarray]:
-        """count, continuations, then as a context: count and words seen once, twice and more often."""
-        return self._find("word", WORD_SHARDS.bit_length() - 1, keys, {x: np.int64 for x in ("c", "cc", "ctx", "n1", "n2", "n3")})
+
+    def __post_init__(self) -> None:
+        self.by_word = Files(self.folder, "word", WORD_SHARDS.bit_length() - 1, {x: np.int64 for x in ("c", "cc", "ctx", "n1", "n2", "n3")})
+        self.by_pair = Files(self.folder, "pair", 2 * self.grid, {"c": np.uint32})
 
     def score(self, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token whether it is known, its base and its log10 probability after v."""
         base = np.float64(self.tokens + 0.5 * (self.words + 1))
         known, back = np.unique(np.r_[w, v], return_inverse=True)
-        c, cc, ctx, n1, n2, n3 = self.of_words(known)
+        _, (c, cc, ctx, n1, n2, n3) = self.by_word.find(known)  # as a context: count, words seen once, twice and more often
         wi, vi = back[: len(w)], back[len(w) :]
         d1, d2 = self.discounts[1], self.discounts[2]
         uniform = 1.0 / (self.words + 1)
         one = np.full(len(known), uniform) if not self.pairs else np.maximum(cc - d1[np.minimum(cc, 3)], 0) / self.pairs + self.unseen * uniform
         rest = (d2[1] * n1 + d2[2] * n2 + d2[3] * n3) / np.maximum(ctx, 1)
         keys, pair = np.unique(pair_key(v, w, self.grid), return_inverse=True)
-        (n,) = self._find("pair", 2 * self.grid, keys, {"c": np.uint32})
+        _, (n,) = self.by_pair.find(keys)
         n = n.astype(np.int64)[pair]
         seen = ctx[vi] > 0
         p = np.where(seen, np.maximum(n - d2[np.minimum(n, 3)], 0) / np.maximum(ctx[vi], 1) + rest[vi] * one[wi], one[wi])
@@ -210,20 +160,20 @@ def train(docs: DataFrame, text_col: str = "text", grid: int | None = None) -> M
 
     def merge(data: pa.Table) -> pa.Table:
         shard = data.column("shard")[0].as_py()
-        v = np.repeat(_joined(data.column("v"), np.uint64), _joined(data.column("n"), np.uint32))
-        w, c = _joined(data.column("w"), np.uint64), _joined(data.column("c"), np.uint32).astype(np.int64)
+        v = np.repeat(joined(data.column("v"), np.uint64), joined(data.column("n"), np.uint32))
+        w, c = joined(data.column("w"), np.uint64), joined(data.column("c"), np.uint32).astype(np.int64)
         key = pair_key(v, w, grid)
         order = np.argsort(key, kind="stable")
-        at = _runs(key[order])
+        at = runs(key[order])
         c, v, w, key = np.add.reduceat(c[order], at), v[order][at], w[order][at], key[order][at]
-        _write(folder, f"pair-{shard}", key=key, c=np.minimum(c, 2**32 - 1).astype(np.uint32))
+        write(folder, f"pair-{shard}", key=key, c=np.minimum(c, 2**32 - 1).astype(np.uint32))
         one = np.ones(len(c), np.int64)
         rows = []
         for role, keys, values in ((0, w, (c, one)), (1, v, (c, c == 1, c == 2, c >= 3))):
             keys, sums = _grouped(keys, *(x.astype(np.int64) for x in values))
             where = (keys >> np.uint64(64 - (WORD_SHARDS.bit_length() - 1))).astype(np.int64)
-            cuts = [*_runs(where).tolist(), len(keys)]
-            rows += [(int(where[a]), role, keys[a:b].tobytes(), np.stack([x[a:b] for x in sums]).astype(np.uint32 if max(x.max() for x in sums) < 2**32 else np.uint64).tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+            width = np.uint32 if max(x.max() for x in sums) < 2**32 else np.uint64
+            rows += [(int(where[a]), role, keys[a:b].tobytes(), np.stack([x[a:b] for x in sums]).astype(width).tobytes()) for a, b in cuts(where)]
         rows.append((shard % WORD_SHARDS, 2, b"", np.array([(c == k).sum() for k in (1, 2, 3, 4)] + [len(c)], np.int64).tobytes()))
         return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _WORDS, strict=True)], schema=_WORDS)
 
@@ -248,7 +198,7 @@ def train(docs: DataFrame, text_col: str = "text", grid: int | None = None) -> M
                 full = np.zeros(len(keys), np.int64)
                 full[np.searchsorted(keys, out[role][0])] = x
                 columns.append(full)
-        _write(folder, f"word-{shard}", key=keys, **dict(zip(("c", "cc", "ctx", "n1", "n2", "n3"), columns, strict=True)))
+        write(folder, f"word-{shard}", key=keys, **dict(zip(("c", "cc", "ctx", "n1", "n2", "n3"), columns, strict=True)))
         cc = columns[1]
         found = [*stats.tolist(), *(int((cc == k).sum()) for k in (1, 2, 3, 4)), int((cc >= 3).sum()), int(columns[0].sum()), int((cc > 0).sum())]
         return pa.table({"x": pa.array([found], pa.list_(pa.int64()))})
