@@ -5,6 +5,7 @@ White space is Unicode white space; ids and entities match without regard to cas
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -263,3 +264,107 @@ def guessed_level(label: Column) -> Column:
     for pattern, level in LEVELS:
         found = found.when(label.rlike(pattern), level)
     return found
+
+
+# Books and their pages
+
+
+def cut_at_heading(html: Column, limit: int, window: int = 4000) -> Column:
+    """The first `limit` characters of a longer text, back to the last heading of the last `window` of them."""
+    shown = F.left(html, F.lit(limit))
+    tail = F.right(shown, F.lit(window))
+    back = F.locate("h<", F.reverse(F.lower(tail)))
+    return F.when(F.length(html) <= limit, html).when(back > 0, F.left(shown, F.length(shown) - back - 1)).otherwise(shown)
+
+
+def anchor_place(html: Column, offset: Column, window: int = 512) -> Column:
+    """Where to plant an anchor for a byte offset (from 0): there on a <, else behind the > before it, if that is near."""
+    data = F.to_binary(html, F.lit("utf-8"))
+    at = F.least(F.greatest(offset, F.lit(0)), F.octet_length(html)).cast("int")
+    start = F.greatest(at - window, F.lit(0))
+    before = F.hex(F.substr(data, start + 1, at - start))
+    near = F.when(before.rlike("^(..)*3E"), at - (F.length(F.regexp_extract(before, "^(?:..)*3E((?:..)*?)$", 1)) / 2).cast("int"))
+    return F.when(F.hex(F.substr(data, at + 1, F.lit(1))) == "3C", at).otherwise(F.coalesce(near, at))
+
+
+def embedded_pictures(html: Column) -> Column:
+    """The three spellings of an embedded picture as mobi/<number from 0>: base-32 and decimal from 1, and resource files."""
+    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+
+    def numbered(text: Column, pattern: str, number, before: str = "", after: str = "") -> Column:
+        parts = F.split(text, f"(?i)(?={pattern})|(?<={pattern})", -1)
+        return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(f"(?i)^{pattern}$"), F.concat(F.lit(before + "mobi/"), number(x).cast("string"), F.lit(after))).otherwise(x)), "")
+
+    def base32(x: Column) -> Column:
+        code = F.upper(F.regexp_extract(x, "(?i)embed:([0-9A-Z]{4})", 1))
+        return F.aggregate(F.split(code, ""), F.lit(0), lambda n, c: F.when(c == "", n).otherwise(n * 32 + F.instr(F.lit(digits), c) - 1)) - 1
+
+    out = numbered(F.regexp_replace(html, r"(?i)(kindle:embed:[0-9A-V]{4})\?[^\"\s>]*", "$1"), "kindle:embed:[0-9A-V]{4}", base32)
+    out = numbered(out, 'recindex=\\"[0-9]{1,6}\\"', lambda x: F.regexp_extract(x, "([0-9]+)", 1).cast("int") - 1, 'src="', '"')
+    return numbered(out, r"resource[0-9]{5}\.[A-Za-z0-9]{1,5}(?![A-Za-z0-9])", lambda x: F.regexp_extract(x, "([0-9]{5})", 1).cast("int"))
+
+
+def page_label(title: Column, name: Column, ident: Column, index: Column) -> Column:
+    """A page's own title unless it is a file's name; else its number from 1."""
+    is_file = F.lower(title).rlike(r"\.(djvu|djv|tiff?|jpe?g|png|gif|bmp|pdf|pbm|pgm|ppm)$")
+    own = (title != "") & ~is_file & ~title.eqNullSafe(name) & ~title.eqNullSafe(ident)
+    return F.when(own, title).otherwise((index + 1).cast("string"))
+
+
+def page_frame(index: Column, width: Column, height: Column) -> Column:
+    """The box of a page image, with its shape where that is known."""
+    shape = F.when((width > 0) & (height > 0), F.concat(F.lit(' style="aspect-ratio: '), width.cast("string"), F.lit(" / "), height.cast("string"), F.lit('"'))).otherwise("")
+    return F.concat(F.lit('<div class="page-frame" data-page="'), index.cast("string"), F.lit('" data-label="'), (index + 1).cast("string"), F.lit('"'), shape, F.lit("></div>"))
+
+
+def contents_label(language: Column) -> Column:
+    return F.when(F.lower(language).startswith("zh"), "目录").otherwise("Contents")
+
+
+def octal(text: Column) -> Column:
+    """A number of octal digits, as tar headers hold; null where there are none."""
+    return F.conv(F.nullif(F.regexp_extract(text, r"^[\s\x{0}]*([0-7]+)", 1), F.lit("")), 8, 10).cast("long")
+
+
+def contents_target(section: Column, fragment: Column, path: Column) -> Column:
+    """In-page link of an entry: its fragment, or its section with the fragment; null for an unknown section."""
+    tail = F.nullif(fragment, F.lit(""))
+    return F.when(path.isNull(), F.concat(F.lit("#"), tail)).otherwise(F.concat(F.lit("#ch"), section.cast("string"), F.coalesce(F.concat(F.lit("--"), tail), F.lit(""))))
+
+
+def error_summary(error: Column) -> Column:
+    """A parse error in words."""
+    return (
+        F.when(error.isNull(), None)
+        .when(error.contains("encrypted"), "This book is encrypted")
+        .when(error.contains("unsupported"), "Unsupported book type")
+        .when(error.rlike("ends early|bad |damaged"), "Damaged book data")
+        .when(error.rlike("malformed|no package document|no spine"), "This book could not be read")
+        .otherwise("Cannot open this book")
+    )
+
+
+def is_noise(path: Column) -> Column:
+    """Bookkeeping of operating systems in an archive."""
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    return path.startswith("__MACOSX/") | path.startswith(".") | name.startswith("._") | name.startswith("Thumbs.db") | (name == ".DS_Store")
+
+
+def is_picture(path: Column) -> Column:
+    return extension(path).isin(*"jpg jpeg jpe png gif webp bmp tif tiff avif heic".split())
+
+
+def follows_settings(path: Column) -> Column:
+    """Books that are read again when settings change."""
+    return book_format(path).isin("markdown", "fb2")
+
+
+def decode_bytes(data: Column, declared: Column, fallbacks: tuple[str, ...] = ("utf-8", "windows-1251")) -> Column:
+    """Text of binary data by the first charset that decodes: declared, then the fallbacks, then Latin-1."""
+    @F.pandas_udf("string")
+    def run(blobs: pd.Series, names: pd.Series) -> pd.Series:
+        from quirelake.sources.common import decode
+
+        return pd.Series([None if b is None else decode(bytes(b), n, *fallbacks) for b, n in zip(blobs, names, strict=True)])
+
+    return run(data, declared)

@@ -162,3 +162,10 @@ def last_wins_union(spark, sf_dir):
     b = table(spark, sf_dir, "conversations").groupBy(F.col("role").alias("key")).agg(F.min("conv_id").alias("value")).withColumn("prio", F.lit(1))
     c = spark.range(1).select(F.lit("en").alias("key"), F.lit(7).cast("long").alias("value"), F.lit(2).alias("prio"))
     return a.unionByName(b).unionByName(c).groupBy("key").agg(F.max_by("value", "prio").alias("value"))
+
+
+@query("offset_anchor", "WITH a AS (SELECT n_chars AS off, min('a' || lpad(doc_id::VARCHAR, 8, '0')) AS anchor FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) SELECT d.doc_id, a.anchor FROM documents d LEFT JOIN a ON d.n_chars = a.off")
+def offset_anchor(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    planted = docs.where("doc_id % 3 = 0").select(F.col("n_chars").alias("off"), F.concat(F.lit("a"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("anchor"))
+    return L.first_key_found(docs, [(planted, "off", F.col("n_chars"), "anchor")]).select("doc_id", F.col("found").alias("anchor"))

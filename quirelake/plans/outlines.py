@@ -164,3 +164,36 @@ def guessed_level(spark, sf_dir):
 @query("promoted_contents")
 def promoted_contents(spark, sf_dir):
     return G.promoted(_paragraphs(spark, sf_dir), ["doc_id"])
+
+
+@query("section_paragraphs", """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
+SELECT doc_id, (i // 4)::BIGINT AS section, count(*) AS paragraphs, md5(arg_min(t, i)) AS first_md5 FROM p WHERE t <> '' GROUP BY ALL""")
+def section_paragraphs(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("i", "t")).where("t <> ''")
+    return rows.groupBy("doc_id", F.expr("cast(i div 4 as bigint)").alias("section")).agg(F.count(F.lit(1)).alias("paragraphs"), F.md5(F.min_by("t", "i")).alias("first_md5"))
+
+
+def _built(spark, sf_dir):
+    """A conversation as a book: a turn is a section with a heading and a link to the next."""
+    from ..operators.build import build
+
+    turns = table(spark, sf_dir, "conversations")
+    path = lambda n: F.concat(F.lit("t/"), n.cast("string"), F.lit(".html"))
+    html = F.concat(F.lit("<body><h"), (1 + F.col("turn") % 3).cast("string"), F.lit(' id="k">'), F.col("role"), F.lit("</h"), (1 + F.col("turn") % 3).cast("string"), F.lit('><a href="'), (F.col("turn") + 1).cast("string"), F.lit('.html#k">x</a></body>'))
+    sections = turns.select(F.col("conv_id").alias("book"), F.col("turn").cast("int").alias("section_idx"), path(F.col("turn")).alias("path"), html.alias("html"))
+    declared = turns.where("turn = 0 AND conv_id % 2 = 0").select(F.col("conv_id").alias("book"), F.lit(0).alias("entry_idx"), F.lit(None).cast("int").alias("parent_idx"), F.lit("Start").alias("title"), path(F.col("turn")).alias("section_path"), F.lit("k").alias("fragment"))
+    fallback = turns.select(F.col("conv_id").alias("book"), (F.col("conv_id") % 4 == 0).alias("is_fallback")).distinct()
+    return build(sections, declared, fallback)
+
+
+@query("build_contents", """WITH s AS (SELECT conv_id AS book, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, 1 + turn % 3 AS level, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT book, k::BIGINT AS entry_idx, (SELECT max(p.k) FROM s p WHERE p.book = s.book AND p.k < s.k AND p.level < s.level)::BIGINT AS parent_idx, role AS title, '#ch' || turn || '--k' AS href FROM s WHERE book % 2 = 1 OR (book % 4 = 0 AND n > 1)
+UNION ALL SELECT book, 0, NULL, 'Start', '#ch0--k' FROM s WHERE turn = 0 AND book % 2 = 0 AND NOT (book % 4 = 0 AND n > 1)""")
+def build_contents(spark, sf_dir):
+    return _built(spark, sf_dir).contents
+
+
+@query("build_links", """SELECT c.conv_id AS book, c.turn::INT AS section_idx, (c.turn + 1) || '.html#k' AS raw, CASE WHEN n.turn IS NOT NULL THEN '#ch' || n.turn || '--k' END AS target
+FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1""")
+def build_links(spark, sf_dir):
+    return _built(spark, sf_dir).links.select("book", "section_idx", "raw", "target")

@@ -166,3 +166,42 @@ def find_in_text_nodes(spark, sf_dir):
 def settings(spark, sf_dir):
     parsed = F.from_json("props", "page string, zoom double, images boolean")
     return table(spark, sf_dir, "events").withColumn("s", parsed).select("event_id", F.coalesce("s.page", F.lit("/")).alias("page"), F.coalesce("s.zoom", F.lit(1.0)).alias("zoom"), F.coalesce("s.images", F.lit(False)).alias("images"))
+
+
+@query("cut_at_heading", "SELECT page_id, CASE WHEN length(html) <= 2000 THEN html WHEN contains(lower(right(left(html, 2000), 1500)), '<h') THEN left(html, 2000 - length(list_last(string_split(lower(right(left(html, 2000), 1500)), '<h'))) - 2) ELSE left(html, 2000) END AS shown FROM pages")
+def cut_at_heading(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.cut_at_heading(F.col("html"), 2000, 1500).alias("shown"))
+
+
+@query("page_labels", """SELECT doc_id, CASE WHEN t <> '' AND NOT regexp_matches(lower(t), '\\.(djvu|tiff?|png)$') AND t IS DISTINCT FROM lang THEN t ELSE (doc_id + 1)::VARCHAR END AS label,
+'<div class="page-frame" data-page="' || doc_id || '" data-label="' || (doc_id + 1) || '"' || CASE WHEN n_chars % 3 > 0 THEN ' style="aspect-ratio: ' || n_chars || ' / ' || n_chars % 3 || '"' ELSE '' END || '></div>' AS frame
+FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN source || '.DjVu' WHEN 1 THEN '' WHEN 2 THEN lang ELSE source END AS t FROM documents)""")
+def page_labels(spark, sf_dir):
+    k = F.col("doc_id") % 4
+    title = F.when(k == 0, F.concat("source", F.lit(".DjVu"))).when(k == 1, "").when(k == 2, F.col("lang")).otherwise(F.col("source"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.page_label(title, F.col("lang"), F.col("text"), F.col("doc_id")).alias("label"), T.page_frame(F.col("doc_id"), F.col("n_chars"), F.col("n_chars") % 3).alias("frame"))
+
+
+@query("archive_pages", """SELECT page_id, path FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '__MACOSX/' WHEN 1 THEN 'a/._' WHEN 2 THEN '.' ELSE 'b/' END || page_id || CASE page_id % 4 WHEN 3 THEN '.txt' ELSE '.JPG' END AS path FROM pages) WHERE page_id % 6 > 2 AND page_id % 4 <> 3""")
+def archive_pages(spark, sf_dir):
+    k = F.col("page_id") % 6
+    path = F.concat(F.when(k == 0, "__MACOSX/").when(k == 1, "a/._").when(k == 2, ".").otherwise("b/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 4 == 3, ".txt").otherwise(".JPG"))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path")).where(~T.is_noise(F.col("path")) & T.is_picture(F.col("path")))
+
+
+@query("octal_numbers", "SELECT DISTINCT p_partkey, p_size::BIGINT AS n FROM part")
+def octal_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.octal(F.concat(F.lit("  0"), F.conv(F.col("p_size").cast("string"), 10, 8), F.lit(" "))).alias("n")).distinct()
+
+
+@query("contents_label", "SELECT doc_id, CASE WHEN lang = 'fr' THEN '目录' ELSE 'Contents' END AS label FROM documents")
+def contents_label(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.contents_label(F.when(F.col("lang") == "fr", "zh-Hant").otherwise(F.col("lang"))).alias("label"))
+
+
+@query("settings_fan_out", "SELECT page_id FROM pages WHERE page_id % 4 IN (2, 3)")
+def settings_fan_out(spark, sf_dir):
+    k = F.col("page_id") % 4
+    path = F.concat("url", F.when(k == 0, ".epub").when(k == 1, ".djvu").when(k == 2, ".MD").otherwise(".fb2"))
+    return table(spark, sf_dir, "pages").where(T.follows_settings(path)).select("page_id")

@@ -111,3 +111,32 @@ def test_coercion_and_types(spark):
     assert [one(spark, T.tolerant_int, x) for x in ("True", " no", "3.9", "x", None)] == [1, 0, 3, None, None]
     assert one(spark, T.media_type, "a/B.JPG") == "image/jpeg" and one(spark, T.media_type, "x") == "application/octet-stream"
     assert [one(spark, T.book_format, x) for x in ("a.EPUB", "b.cbt", "c.djv", "d.txt", "e")] == ["epub", "cbz", "djvu", None, None]
+
+
+def test_pages_of_books(spark):
+    assert one(spark, lambda h: T.cut_at_heading(h, 12, 8), "abcdef<h1>xyz") == "abcdef"
+    assert one(spark, lambda h: T.cut_at_heading(h, 12, 2), "abcdef<h1>xyz") == "abcdef<h1>xy"
+    assert one(spark, lambda h: T.cut_at_heading(h, 99), "abc") == "abc"
+    html = 'é<p class="x">ab<i>'
+    for offset, want in ((0, 0), (2, 2), (8, 8), (17, 16), (99, 21), (19, 18)):
+        data = html.encode()
+        at = min(max(offset, 0), len(data))
+        place = at
+        if at < len(data) and data[at : at + 1] != b"<":
+            near = data[max(0, at - 512) : at].rfind(b">")
+            place = max(0, at - 512) + near + 1 if near >= 0 else at
+        assert one(spark, lambda h, o=offset: T.anchor_place(h, F.lit(o)), html) == place, offset
+    got = one(spark, T.embedded_pictures, '<img src="kindle:embed:0010?mime=image/jpg"><img recindex="00013"><i src="resource00042.jpg">')
+    assert got == '<img src="mobi/31"><img src="mobi/12"><i src="mobi/42">'
+    frame = spark.createDataFrame([("a.djvu", "n", "i", 0), ("Cover", "n", "i", 1), ("n", "n", "i", 2), ("", None, None, 3)], "t string, n string, i string, k int")
+    assert [r[0] for r in frame.select(T.page_label(F.col("t"), F.col("n"), F.col("i"), F.col("k"))).collect()] == ["1", "Cover", "3", "4"]
+
+
+def test_small_functions(spark):
+    assert [one(spark, T.octal, x) for x in ("0000644\0", "  17 ", "x", "")] == [0o644, 0o17, None, None]
+    assert one(spark, T.contents_label, "zh-Hans") == "目录" and one(spark, T.contents_label, "en") == "Contents"
+    frame = spark.createDataFrame([(1, "f", "p"), (1, None, "p"), (None, "f", "p"), (None, "f", None), (None, "", None)], "s int, f string, p string")
+    assert [r[0] for r in frame.select(T.contents_target(F.col("s"), F.col("f"), F.col("p"))).collect()] == ["#ch1--f", "#ch1", None, "#f", None]
+    assert one(spark, T.error_summary, "MOBI container is encrypted") == "This book is encrypted" and one(spark, T.error_summary, None) is None
+    raw = spark.createDataFrame([("привет".encode("windows-1251"), None), ("é".encode("latin-1"), "utf-8"), ("中".encode("gb18030"), "gb18030"), (None, None)], "b binary, c string")
+    assert [r[0] for r in raw.select(T.decode_bytes(F.col("b"), F.col("c"))).collect()] == ["привет", "й", "中", None]
