@@ -161,7 +161,26 @@ def guessed_level(spark, sf_dir):
     return rows.select("doc_id", "idx", T.guessed_level(label).alias("level"))
 
 
-@query("promoted_contents")
+def like_sql(label: str, limit: int) -> str:
+    return f"(length({label}) BETWEEN 3 AND {limit} AND NOT regexp_matches({label}, '[.,;]$') AND NOT contains({label}, 'http') AND NOT contains({label}, '@') AND NOT contains({label}, '://') AND NOT regexp_matches({label}, '{T.RUNNING}'))"
+
+
+_LEVEL = f"CASE WHEN NOT {like_sql('label', 80)} THEN NULL " + " ".join(f"WHEN regexp_matches(label, '{pattern}') THEN {level}" for pattern, level in T.LEVELS) + " END"
+_FIRST = "row_number() OVER (PARTITION BY doc_id, label ORDER BY idx) = 1"
+
+
+@query("promoted_contents", rf"""
+WITH s AS (SELECT doc_id, regexp_split_to_array(text, '\. |\n') AS a FROM documents),
+x AS (SELECT doc_id, unnest(a) AS raw, generate_subscripts(a, 1) - 1 AS idx FROM s),
+p AS MATERIALIZED (SELECT doc_id, idx, CASE WHEN idx % 7 = 3 AND doc_id % 2 = 0 THEN 'chapter ' || idx || ' x' ELSE trim(lower(raw)) END AS label, idx // 6 AS section, length(raw) % 5 = 0 AS bold FROM x),
+q AS MATERIALIZED (SELECT *, {_LEVEL} AS level, doc_id || '/' || section IN (SELECT doc_id || '/' || section FROM p WHERE idx = section * 6 AND label IN ({", ".join(f"'{c}'" for c in T.CONTENTS)})) AS listed FROM p WHERE label <> ''),
+t1 AS MATERIALIZED (SELECT doc_id, idx, label, 1 AS tier, least(1 + section % 4, 3) AS level FROM q WHERE idx = section * 6 AND {like_sql('label', 140)} QUALIFY {_FIRST}),
+n1 AS (SELECT doc_id, count(*) AS n FROM t1 GROUP BY doc_id),
+spare AS MATERIALIZED (SELECT q.* FROM q LEFT JOIN n1 USING (doc_id) WHERE NOT (listed AND coalesce(n, 0) >= 3) AND (doc_id, label) NOT IN (SELECT doc_id, label FROM t1)),
+t2 AS MATERIALIZED (SELECT doc_id, idx, label, 2 AS tier, level FROM spare WHERE level IS NOT NULL QUALIFY {_FIRST}),
+n2 AS (SELECT doc_id, count(*) AS n FROM t2 GROUP BY doc_id),
+t3 AS (SELECT doc_id, idx, label, 3 AS tier, 2 AS level FROM spare LEFT JOIN n2 USING (doc_id) WHERE bold AND coalesce(n, 0) < 3 AND (doc_id, label) NOT IN (SELECT doc_id, label FROM t2) QUALIFY {_FIRST})
+SELECT doc_id, idx::BIGINT AS idx, label, tier::INT AS tier, level::INT AS level FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)""")
 def promoted_contents(spark, sf_dir):
     return G.promoted(_paragraphs(spark, sf_dir), ["doc_id"])
 
