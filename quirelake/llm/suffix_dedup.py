@@ -25,9 +25,13 @@ from .words import P, chunks, mixed, powers
 #: Bytes of a repeated string, of an anchor, and of the context that splits an anchor's segments.
 LENGTH, K, SIDE = 50, 24, 13
 #: Anchors that a map task folds at once; bytes of text for each shard of the files, about.
-FOLD, SHARD_BYTES = 3 << 20, 24 << 20
+FOLD, SHARD_BYTES = 2 << 20, 24 << 20
 #: Segments in a shard whose transform is built before shards are merged; symbols in one merge.
-BLOCK, SYMBOLS = 1 << 15, 1 << 22
+BLOCK, SYMBOLS = 1 << 15, 1 << 21
+#: An anchor in more segments than this has its strings folded by hash, so no group of segments grows beyond it.
+HOT = 512
+#: Bytes of text whose windows are hashed at once; a longer text is hashed whole.
+CHUNK = 1 << 20
 
 _forward = _back = np.zeros(0, np.uint64)
 
@@ -38,7 +42,7 @@ class Rolling:
     def __init__(self, data: np.ndarray):
         global _forward, _back
         if len(_forward) <= len(data):
-            n = max(len(data) + 1, 1 << 21)
+            n = max(len(data) + 1, CHUNK + 1)
             _forward, _back = powers(P, n), powers(pow(P, -1, 1 << 64), n)
         self.total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _forward[: len(data)], out=self.total[1:])
@@ -49,7 +53,7 @@ class Rolling:
 
 @dataclass
 class Segments:
-    """Of a chunk of texts, in order: anchor hash, key, row, first and last window, anchor position."""
+    """Of a chunk of texts, in order: anchor hash, hash of anchor and bytes, row, first and last window, anchor position."""
 
     anchor: np.ndarray
     key: np.ndarray
@@ -59,9 +63,15 @@ class Segments:
     at: np.ndarray
     rolling: Rolling
 
+    def windows(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All windows of the segments k: their segment, place and hash."""
+        n = self.hi[k] - self.lo[k] + 1
+        place = np.repeat(self.lo[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(k, n), place, self.rolling.of(place, place + LENGTH)
 
-def segments(data: np.ndarray, bounds: np.ndarray, bits: int) -> Segments:
-    """The windows of each text, by their anchors; a key starts with the first bits of its anchor."""
+
+def segments(data: np.ndarray, bounds: np.ndarray) -> Segments:
+    """The windows of each text, by their anchors."""
     w, n, rolling = LENGTH - K + 1, len(data), Rolling(data)
     if n < LENGTH:
         none, zero = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -83,9 +93,7 @@ def segments(data: np.ndarray, bounds: np.ndarray, bits: int) -> Segments:
     lo, hi, at, row = p[start], p[np.r_[start[1:], len(p)] - 1] if len(p) else p, at[start], row[start]
     anchor = g[at]
     inside = rolling.of(lo, hi + LENGTH) + mixed(((at - lo) << 8 | (hi - lo)).astype(np.uint64))
-    top = np.uint64(bits)
-    key = anchor >> (np.uint64(64) - top) << (np.uint64(64) - top) | mixed(inside ^ anchor) >> top
-    return Segments(anchor, key, row, lo, hi, at, rolling)
+    return Segments(anchor, mixed(inside ^ anchor), row, lo, hi, at, rolling)
 
 
 @dataclass
@@ -219,30 +227,52 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 @dataclass
 class Found:
-    """Files of the repeated segments and of the windows of their first occurrences that repeat others."""
+    """Files: first documents of repeated segments, numbers of segments of anchors that have several, and strings of these that repeat."""
 
     bits: int
     segments: Files
+    several: Files
     windows: Files
+    strings: Files
+    hot: int = HOT
+
+    def parts(self, s: Segments, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segments that occur in a smaller id; first occurrences whose anchor has some other segments, and has many."""
+        known, (first,) = self.segments.find(s.key)
+        whole = known & (ids[s.row] > first)
+        mine = np.flatnonzero(known & (ids[s.row] == first))
+        _, (n,) = self.several.find(s.anchor[mine])
+        return np.flatnonzero(whole), mine[(n > 1) & (n <= self.hot)], mine[n > self.hot]
 
     def windows_of(self, s: Segments, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first window, window after the last) of the runs of windows that repeat a smaller id."""
-        known, (first, conflict) = self.segments.find(s.key)
-        mine = ids[s.row]
-        whole = known & (mine > first)
+        whole, some, many = self.parts(s, ids)
         a, b = [s.lo[whole]], [s.hi[whole] + 1]
-        part = np.flatnonzero(known & (conflict > 0) & (mine == first))
-        if len(part):
-            records = sides(s, part, self.bits)
+        if len(some):
+            records = sides(s, some, self.bits)
             hit, (mask,) = self.windows.find(records.key)
             for j in range(int((records.hi - records.lo).max(initial=-1)) + 1):
                 on = hit & (mask >> np.uint64(j) & np.uint64(1) > 0)
                 a.append(records.lo[on] + j), b.append(records.lo[on] + j + 1)
+        if len(many):
+            of, place, key = s.windows(many)
+            hit, (first,) = self.strings.find(key)
+            place = place[hit & (first < ids[s.row[of]])]
+            a.append(place), b.append(place + 1)
         return np.concatenate(a), np.concatenate(b)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, block: int = BLOCK) -> Found:
-    """Three passes over the texts: shared anchors, their distinct segments, windows of conflicting segments."""
+def _least(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of each distinct key, in order, where its smallest doc stands."""
+    order = np.lexsort((doc, key))
+    return order[runs(key[order])]
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, block: int = BLOCK, hot: int = HOT) -> Found:
+    """Three passes over the texts: shared anchors, their distinct segments, strings of anchors with several segments.
+
+    Anchors, segments and strings are dealt by their hashes after each map task has folded its own.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     if bits is None:
@@ -251,14 +281,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     folder = local_folder(stage_path(spark, "suffix"))
     os.makedirs(folder, exist_ok=True)
     shared = Files(folder, "anchor", bits, {})
-    repeated = Files(folder, "segment", bits, {"first": np.int64, "conflict": np.uint8})
-    windows = Files(folder, "window", bits, {"mask": np.uint64})
+    found = Found(bits, Files(folder, "segment", bits, {"first": np.int64}), Files(folder, "several", bits, {"n": np.uint32}), Files(folder, "window", bits, {"mask": np.uint64}), Files(folder, "string", bits, {"first": np.int64}), hot)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Segments]]:
         for batch in batches:
             ids = _ids(batch.column(0))
-            for i, j, data, bounds in chunks(batch.column(1)):
-                yield ids[i:j], data, segments(data, bounds, bits)
+            for i, j, data, bounds in chunks(batch.column(1), CHUNK):
+                yield ids[i:j], data, segments(data, bounds)
 
     def folded(parts: Iterator[tuple[np.ndarray, ...]], fold) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -271,8 +300,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
         if n:
             yield _batch(fold(*map(np.concatenate, zip(*held, strict=True))))
 
-    def run(count, merge) -> None:
-        rows.mapInArrow(count, _NAMES).groupBy("shard").applyInArrow(merge, "n long").agg(F.sum("n")).collect()
+    def shard_in(data: pa.Table) -> int:
+        return data.column("shard")[0].as_py()
 
     def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fold(anchor: np.ndarray, doc: np.ndarray) -> list:
@@ -288,13 +317,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     def merge_anchors(data: pa.Table) -> pa.Table:
         one, two = np.sort(joined(data.column("a"), np.uint64)), joined(data.column("b"), np.uint64)
         keys = np.union1d(one[1:][one[1:] == one[:-1]], two)
-        write(folder, f"anchor-{data.column('shard')[0].as_py()}", key=keys)
+        write(folder, f"anchor-{shard_in(data)}", key=keys)
         return pa.table({"n": [len(keys)]})
 
     def count_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fold(key: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> list:
-            order = np.lexsort((doc, key))
-            at = order[runs(key[order])]
+            at = _least(key, doc)
             return by_shard(bits, key[at], anchor[at], doc[at])
 
         def parts():
@@ -306,49 +334,70 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
 
     def merge_segments(data: pa.Table) -> pa.Table:
         key, anchor, doc = (joined(data.column(c), kind) for c, kind in (("a", np.uint64), ("b", np.uint64), ("c", np.int64)))
-        order = np.lexsort((doc, key))
-        at = order[runs(key[order])]
-        key, anchor, doc = key[at], anchor[at], doc[at]
+        at = _least(key, doc)
+        write(folder, f"segment-{shard_in(data)}", key=key[at], first=doc[at])
+        names, n = np.unique(anchor[at], return_counts=True)
+        return pa.Table.from_batches([_batch(by_shard(bits, names, n.astype(np.uint32)))])
+
+    def merge_several(data: pa.Table) -> pa.Table:
+        anchor, n = joined(data.column("a"), np.uint64), joined(data.column("b"), np.uint32).astype(np.int64)
         order = np.argsort(anchor, kind="stable")
-        size = np.diff(np.r_[runs(anchor[order]), len(order)])
-        conflict = np.zeros(len(key), np.uint8)
-        conflict[order] = np.repeat(size > 1, size)
-        write(folder, f"segment-{data.column('shard')[0].as_py()}", key=key, first=doc, conflict=conflict)
-        return pa.table({"n": [int(conflict.sum())]})
+        at = runs(anchor[order])
+        total = np.add.reduceat(n[order], at) if len(at) else n
+        keep = total > 1
+        write(folder, f"several-{shard_in(data)}", key=anchor[order][at][keep], n=np.minimum(total[keep], 2**32 - 1).astype(np.uint32))
+        return pa.table({"n": [int(keep.sum())]})
 
     def count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = _ids(batch.column(0))
-            for i, j, data, bounds in chunks(batch.column(1)):
-                s = segments(data, bounds, bits)
-                known, (first, conflict) = repeated.find(s.key)
-                part = np.flatnonzero(known & (conflict > 0) & (ids[i:j][s.row] == first))
-                r = sides(s, part, bits)
-                _, pick = np.unique(r.key, return_index=True)
-                size = (r.block - r.lo)[pick], (r.hi + LENGTH - r.block - K - SIDE)[pick]
-                out = []
-                shard = (r.group[pick] >> np.uint64(64 - bits)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                for a, b in cuts(shard[order]):
-                    mine = order[a:b]
-                    k = pick[mine]
-                    before, behind = size[0][mine], size[1][mine]
-                    n = np.c_[before, behind].ravel()
-                    begin = np.c_[r.lo[k], r.block[k] + K + SIDE].ravel()
-                    byte = data[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                    wide = np.c_[r.hi[k] - r.lo[k] + 1, before].astype(np.uint8)
-                    out.append((int(shard[mine[0]]), (r.group[k].tobytes(), r.key[k].tobytes(), ids[i:j][s.row[r.of[k]]].tobytes(), wide.tobytes(), byte.tobytes())))
-                if out:
-                    yield _batch(out)
+        held, n_held = [], 0
+
+        def strings() -> pa.RecordBatch:
+            key, doc = map(np.concatenate, zip(*held, strict=True))
+            at = _least(key, doc)
+            return _batch([(shard + (1 << bits), blobs) for shard, blobs in by_shard(bits, key[at], doc[at])])
+
+        for ids, data, s in each(batches):
+            _, some, many = found.parts(s, ids)
+            if len(many):
+                of, _, key = s.windows(many)
+                held.append((key, ids[s.row[of]]))
+                n_held += len(key)
+                if n_held >= FOLD:
+                    yield strings()
+                    held, n_held = [], 0
+            r = sides(s, some, bits)
+            _, pick = np.unique(r.key, return_index=True)
+            size = (r.block - r.lo)[pick], (r.hi + LENGTH - r.block - K - SIDE)[pick]
+            out = []
+            shard = (r.group[pick] >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            for a, b in cuts(shard[order]):
+                mine = order[a:b]
+                k = pick[mine]
+                before, behind = size[0][mine], size[1][mine]
+                n = np.c_[before, behind].ravel()
+                begin = np.c_[r.lo[k], r.block[k] + K + SIDE].ravel()
+                byte = data[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                wide = np.c_[r.hi[k] - r.lo[k] + 1, before].astype(np.uint8)
+                out.append((int(shard[mine[0]]), (r.group[k].tobytes(), r.key[k].tobytes(), ids[s.row[r.of[k]]].tobytes(), wide.tobytes(), byte.tobytes())))
+            if out:
+                yield _batch(out)
+        if held:
+            yield strings()
 
     def merge_windows(data: pa.Table) -> pa.Table:
+        if shard_in(data) >= 1 << bits:
+            key, doc = joined(data.column("a"), np.uint64), joined(data.column("b"), np.int64)
+            at = _least(key, doc)
+            write(folder, f"string-{shard_in(data) - (1 << bits)}", key=key[at], first=doc[at])
+            return pa.table({"n": [len(at)]})
         group, key, doc = (joined(data.column(c), kind) for c, kind in (("a", np.uint64), ("b", np.uint64), ("c", np.int64)))
         n, left = joined(data.column("d"), np.uint8).astype(np.int64).reshape(-1, 2).T
         byte = joined(data.column("e"), np.uint8)
         size = n + LENGTH - K - SIDE - 1
         begin = np.cumsum(size) - size
         order = np.lexsort((key, group))
-        order = order[runs(key[order])] if len(order) else order  # a key lies in one group
+        order = order[runs(key[order])]  # a key lies in one group
         g = group[order]
         count = np.diff(np.r_[runs(g), len(g)])
         order = order[np.repeat(count > 1, count)]
@@ -356,16 +405,18 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
         mask = earlier(group[order], doc[order], n[order], left[order], byte[take], block)
         keep = np.flatnonzero(mask)
         at = keep[np.argsort(key[order][keep])]
-        write(folder, f"window-{data.column('shard')[0].as_py()}", key=key[order][at], mask=mask[at])
+        write(folder, f"window-{shard_in(data)}", key=key[order][at], mask=mask[at])
         return pa.table({"n": [len(order)]})
 
-    run(count_anchors, merge_anchors)
-    run(count_segments, merge_segments)
-    run(count_windows, merge_windows)
-    return Found(bits, repeated, windows)
+    for count, merges in ((count_anchors, (merge_anchors,)), (count_segments, (merge_segments, merge_several)), (count_windows, (merge_windows,))):
+        job = rows.mapInArrow(count, _NAMES)
+        for merge in merges[:-1]:
+            job = job.groupBy("shard").applyInArrow(merge, _NAMES)
+        job.groupBy("shard").applyInArrow(merges[-1], "n long").agg(F.sum("n")).collect()
+    return found
 
 
-def suffix_dedup(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", found: Found | None = None, block: int = BLOCK) -> DataFrame:
+def suffix_dedup(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", found: Found | None = None, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """keep's columns of every row, _n_bytes, _starts and _ends (bytes of the removed runs), _kept (binary).
 
     Null texts are empty; matches do not cross texts. Ids are compared as long integers; a null id
@@ -373,14 +424,14 @@ def suffix_dedup(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_
     is judged on the input. Equal segments are told by 64-bit hashes of their anchors and bytes.
     Texts below LENGTH bytes stay. An empty table gives no row. keep may hold columns of any name.
     """
-    found = found or find(docs, id_col, text_col, block=block)
+    found = found or find(docs, id_col, text_col, block=block, hot=hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             ids, rows = _ids(batch.column(names.index("_id"))), []
-            for i, j, data, bounds in chunks(batch.column(names.index("_text"))):
-                a, b = found.windows_of(segments(data, bounds, found.bits), ids[i:j])
+            for i, j, data, bounds in chunks(batch.column(names.index("_text")), CHUNK):
+                a, b = found.windows_of(segments(data, bounds), ids[i:j])
                 step = np.zeros(len(data) + 1, np.int64)
                 np.add.at(step, a, 1)
                 np.add.at(step, b + LENGTH - 1, -1)

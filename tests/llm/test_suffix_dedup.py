@@ -73,6 +73,12 @@ def test_merged_blocks(spark):
     assert run(spark, rows, block=3) == brute(rows)
 
 
+def test_anchors_with_many_segments(spark):
+    rows = made(5, 120)
+    for hot in (1, 3):
+        assert run(spark, rows, hot=hot) == brute(rows)
+
+
 def test_repetitive_texts(spark):
     rows = [(i, ("ab" * 100 if i % 2 else "a" * 130 + str(i)) + "c" * (i * 7)) for i in range(12)]
     assert run(spark, rows) == brute(rows)
