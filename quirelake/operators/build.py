@@ -32,14 +32,13 @@ def build(sections: DataFrame, declared: DataFrame, fallback: DataFrame) -> Buil
     linked = L.resolved(raw, marked.select("book", "section_idx", "path"), ["book"]).drop("base")
     linked = linked.withColumn("target", F.when((F.col("attr") == "href") & F.col("class").isin("internal", "fragment"), F.col("target")))
 
-    sizes = (
-        marked.select("book").distinct()
-        .join(declared.groupBy("book").agg(F.count(F.lit(1)).alias("n")), "book", "left")
-        .join(heads.groupBy("book").agg(F.count(F.lit(1)).alias("k")), "book", "left")
-        .join(fallback, "book", "left")
-    )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    choice = sizes.select("book", O.choose(zero("n"), zero("k"), F.coalesce("is_fallback", F.lit(False))).alias("choice"))
+    # one pass over all rows of a book counts both lists
+    def tally(rows: DataFrame, n: int, k: int, is_fallback=F.lit(None).cast("boolean")) -> DataFrame:
+        return rows.select("book", F.lit(n).alias("n"), F.lit(k).alias("k"), is_fallback.alias("f"))
+
+    sizes = tally(marked, 0, 0).unionByName(tally(declared, 1, 0)).unionByName(tally(heads, 0, 1)).unionByName(tally(fallback, 0, 0, F.col("is_fallback")))
+    sizes = sizes.groupBy("book").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.coalesce(F.max("f"), F.lit(False)).alias("f"))
+    choice = sizes.select("book", O.choose(F.col("n"), F.col("k"), F.col("f")).alias("choice"))
     first = marked.where(F.col("path").isNotNull()).groupBy("book", F.col("path").alias("section_path")).agg(F.min("section_idx").alias("_to"))
     own = declared.join(choice.where("choice = 'declared'"), "book", "left_semi").join(first, ["book", "section_path"], "left")
     own = own.select("book", F.col("entry_idx").cast("long").alias("entry_idx"), F.col("parent_idx").cast("long").alias("parent_idx"), "title", T.contents_target(F.col("_to"), F.col("fragment"), F.col("section_path")).alias("href"))

@@ -22,7 +22,8 @@ def promoted(paragraphs: DataFrame, book: list[str]) -> DataFrame:
     one = first & (F.col("section_size") >= 3) & T.heading_like(label, 140)
     level = T.guessed_level(label)
     contents = F.max(first & label.isin(*T.CONTENTS)).over(Window.partitionBy(*book, "section"))
-    rows = paragraphs.where(label != "").withColumn("_contents", F.coalesce(contents, F.lit(False)) & F.col("section").isNotNull())
+    # one shuffle by book serves every window below
+    rows = paragraphs.where(label != "").repartition(*book).withColumn("_contents", F.coalesce(contents, F.lit(False)) & F.col("section").isNotNull())
     rows = rows.withColumn("_one", F.coalesce(one, F.lit(False))).withColumn("_level", level)
     whole = Window.partitionBy(*book)
     rank = Window.partitionBy(*book, "label")
