@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, text_of
+from .shared import carried, table, text_in, text_of
 from .words import Words, buffers, chunks, grams, winnow
 
 #: Bytes of benchmark text in one broadcast index; more are taken in blocks, one pass each.
@@ -106,9 +106,8 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text_col:
     texts = items.select(F.col(item_id).cast("string").alias("id"), text_of(item_text).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    rows = docs.select(F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("_row"), F.col(text_col).alias("_text")).withColumns(
-        {"_n_words": F.lit(0).cast("long"), "_starts": F.array().cast("array<long>"), "_ends": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")}
-    )
+    longs = F.array().cast("array<long>")
+    rows = carried(docs, keep, text_col, F.lit(0).cast("long").alias("_n_words"), longs.alias("_starts"), longs.alias("_ends"), F.array().cast("array<string>").alias("_items"))
     for block in range(blocks):
         mine = texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)
         found = mine.collect()
@@ -117,32 +116,29 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], text_col:
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 names = batch.schema.names
-                text, old = batch.column(names.index("_text")), [batch.column(names.index(c)) for c in ("_starts", "_ends", "_items")]
-                spans, found_items, n_words = {}, {}, np.zeros(batch.num_rows, np.int64)
-                for i, j, data, bounds in chunks(text):
-                    words = Words(data, bounds)
-                    n_words[i:j] = words.counts
+                for i, j, data, bounds in chunks(text_in(batch, text_col)):
+                    here = batch.slice(i, j - i)
+                    old = [here.column(names.index(c)) for c in ("_starts", "_ends", "_items")]
+                    words, spans, items_of = Words(data, bounds), {}, {}
                     first_word = np.cumsum(words.counts) - words.counts
                     for a, b, item in index.value.spans(words):
                         d = int(words.doc[a])
-                        spans.setdefault(i + d, []).append((a - int(first_word[d]), b - int(first_word[d])))
+                        spans.setdefault(d, []).append((a - int(first_word[d]), b - int(first_word[d])))
                         if index.value.ids[item] is not None:
-                            found_items.setdefault(i + d, set()).add(index.value.ids[item])
-                starts, ends, of = [], [], []
-                for r in range(batch.num_rows):
-                    if r in spans or len(old[0][r]):
+                            items_of.setdefault(d, set()).add(index.value.ids[item])
+                    starts, ends, of = [], [], []
+                    for r in range(j - i):
                         joined = []
-                        for a, b in sorted([*spans.get(r, []), *zip(old[0][r].as_py(), old[1][r].as_py(), strict=True)]):
-                            if joined and a <= joined[-1][1]:
-                                joined[-1][1] = max(joined[-1][1], b)
-                            else:
-                                joined.append([a, b])
+                        if r in spans or len(old[0][r]):
+                            for a, b in sorted([*spans.get(r, []), *zip(old[0][r].as_py(), old[1][r].as_py(), strict=True)]):
+                                if joined and a <= joined[-1][1]:
+                                    joined[-1][1] = max(joined[-1][1], b)
+                                else:
+                                    joined.append([a, b])
                         starts.append([a for a, _ in joined]), ends.append([b for _, b in joined])
-                        of.append(sorted(found_items.get(r, set()) | set(old[2][r].as_py())))
-                    else:
-                        starts.append([]), ends.append([]), of.append([])
-                kept = [batch.column(names.index(c)) for c in ("_row", "_text")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(of, pa.list_(pa.string()))], ["_row", "_text", "_n_words", "_starts", "_ends", "_items"])
+                        of.append(sorted(items_of.get(r, set()) | set(old[2][r].as_py())))
+                    new = {"_n_words": pa.array(words.counts), "_starts": pa.array(starts, pa.list_(pa.int64())), "_ends": pa.array(ends, pa.list_(pa.int64())), "_items": pa.array(of, pa.list_(pa.string()))}
+                    yield pa.RecordBatch.from_arrays([new.get(n, here.column(k)) for k, n in enumerate(names)], names)
 
         rows = rows.mapInArrow(run, rows.schema)
     return rows.select(*[F.col("_row").getField(c).alias(c) for c in keep], "_n_words", "_starts", "_ends", "_items")

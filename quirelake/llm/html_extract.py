@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import carried, table, text_in
 
 # Names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -198,12 +198,12 @@ def extract_text(pages: DataFrame, keep: list[str], html_col: str = "html", weig
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            found = pa.array([extract(x.as_py(), weight) for x in batch.column(names.index("_html"))], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(names.index("_row")), found], ["_row", "_text"])
+            found = pa.array([extract(x.as_py(), weight) for x in text_in(batch, html_col)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(names.index("_row")), found], ["_row", "_found"])
 
-    rows = pages.select(F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("_row"), F.col(html_col).alias("_html"))
-    schema = rows.select("_row", F.lit("").cast("string").alias("_text")).schema
-    return rows.mapInArrow(run, schema).select(*[F.col("_row").getField(c).alias(c) for c in keep], F.col("_text").alias("text"))
+    rows = carried(pages, keep, html_col)
+    schema = rows.select("_row", F.lit("").cast("string").alias("_found")).schema
+    return rows.mapInArrow(run, schema).select(*[F.col("_row").getField(c).alias(c) for c in keep], F.col("_found").alias("text"))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

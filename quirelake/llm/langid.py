@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import carried, table, text_in
 
 #: Features are n-gram hashes of this many bits.
 BITS = 15
@@ -189,10 +189,10 @@ def language_id(docs: DataFrame, keep: list[str], model: Model, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            found = [shared.value.predict(x.as_py()) for x in batch.column(names.index("_text"))]
+            found = [shared.value.predict(x.as_py()) for x in text_in(batch, text_col)]
             yield pa.RecordBatch.from_arrays([batch.column(names.index("_row")), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], ["_row", "_lang", "_score"])
 
-    rows = docs.select(F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("_row"), F.col(text_col).alias("_text"))
+    rows = carried(docs, keep, text_col)
     schema = rows.select("_row", F.lit("").cast("string").alias("_lang"), F.lit(0.0).alias("_score")).schema
     return rows.mapInArrow(run, schema).select(*[F.col("_row").getField(c).alias(c) for c in keep], F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashfiles import Files, cuts, joined, local_folder, runs, write
-from .shared import stage_path, table, text_of
+from .shared import carried, stage_path, table, text_in, text_of
 from .words import SPACED, Words, chunks, mixed
 
 #: Hashes of what precedes a text and of its end.
@@ -224,7 +224,7 @@ def lm_score(docs: DataFrame, keep: list[str], model: Model, text_col: str = "te
         for batch in batches:
             names = batch.schema.names
             n, known, base, score = (np.zeros(batch.num_rows, kind) for kind in (np.int64, np.int64, np.float64, np.float64))
-            for i, j, data, bounds in chunks(batch.column(names.index("_text"))):
+            for i, j, data, bounds in chunks(text_in(batch, text_col)):
                 w, v, sizes = tokens(data, bounds)
                 at = np.cumsum(sizes) - sizes
                 n[i:j] = sizes
@@ -232,7 +232,7 @@ def lm_score(docs: DataFrame, keep: list[str], model: Model, text_col: str = "te
                     out[i:j] = np.add.reduceat(x.astype(out.dtype), at)
             yield pa.RecordBatch.from_arrays([batch.column(names.index("_row")), *map(pa.array, (n, known, base, score))], ["_row", "_n", "_known", "_base", "_score"])
 
-    rows = docs.select(F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("_row"), F.col(text_col).alias("_text"))
+    rows = carried(docs, keep, text_col)
     zero = F.lit(0).cast("long")
     schema = rows.select("_row", zero.alias("_n"), zero.alias("_known"), F.lit(0.0).alias("_base"), F.lit(0.0).alias("_score")).schema
     named = [F.col(a).alias(b) for a, b in (("_n", "n_tokens"), ("_known", "n_known"), ("_base", "base_score"), ("_score", "score"))]

@@ -40,5 +40,18 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def carried(docs: DataFrame, keep: list[str], text_col: str, *more: Column) -> DataFrame:
+    """_row, a struct of keep's columns, and `more`; _text too where the text is not in keep."""
+    row = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
+    text = [] if text_col in keep else [F.col(text_col).alias("_text")]
+    return docs.select(row.alias("_row"), *text, *more)
+
+
+def text_in(batch, text_col: str):
+    """The text column of a batch of carried()."""
+    names = batch.schema.names
+    return batch.column(names.index("_text")) if "_text" in names else batch.column(names.index("_row")).field(text_col)
+
+
 #: SHA-256 of nothing.
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashfiles import Files, by_shard, cuts, joined, local_folder, runs, write
-from .shared import stage_path, table, text_of
+from .shared import carried, stage_path, table, text_in, text_of
 from .words import P, chunks, mixed, powers
 
 #: Bytes of a repeated string, of an anchor, and of the context that splits an anchor's segments.
@@ -30,7 +30,7 @@ FOLD, SHARD_BYTES = 2 << 20, 24 << 20
 BLOCK, SYMBOLS = 1 << 15, 1 << 21
 #: An anchor in more segments than this has its strings folded by hash, so no group of segments grows beyond it.
 HOT = 512
-#: Bytes of text whose windows are hashed at once; a longer text is hashed whole.
+#: Bytes of text whose windows are hashed at once.
 CHUNK = 1 << 20
 
 _forward = _back = np.zeros(0, np.uint64)
@@ -96,6 +96,19 @@ def segments(data: np.ndarray, bounds: np.ndarray) -> Segments:
     return Segments(anchor, mixed(inside ^ anchor), row, lo, hi, at, rolling)
 
 
+def pieces(data: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(offset, bytes, bounds) of a chunk; a long text in pieces that share the bytes of the windows between them.
+
+    A cut gives other segments of the same anchors, which are told apart like any.
+    """
+    if len(data) <= 2 * size:
+        yield 0, data, bounds
+        return
+    for a in range(0, max(1, len(data) - LENGTH + 1), size):
+        part = data[a : a + size + LENGTH - 1]
+        yield a, part, np.array([0, len(part)])
+
+
 @dataclass
 class Sides:
     """Records of conflicting segments: each window lies in one that holds SIDE bytes before or behind the anchor."""
@@ -287,7 +300,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
         for batch in batches:
             ids = _ids(batch.column(0))
             for i, j, data, bounds in chunks(batch.column(1), CHUNK):
-                yield ids[i:j], data, segments(data, bounds)
+                for _, part, within in pieces(data, bounds, CHUNK):
+                    yield ids[i:j], part, segments(part, within)
 
     def folded(parts: Iterator[tuple[np.ndarray, ...]], fold) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -427,30 +441,31 @@ def suffix_dedup(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_
     found = found or find(docs, id_col, text_col, block=block, hot=hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
         for batch in batches:
             names = batch.schema.names
-            ids, rows = _ids(batch.column(names.index("_id"))), []
-            for i, j, data, bounds in chunks(batch.column(names.index("_text")), CHUNK):
-                a, b = found.windows_of(segments(data, bounds), ids[i:j])
-                step = np.zeros(len(data) + 1, np.int64)
-                np.add.at(step, a, 1)
-                np.add.at(step, b + LENGTH - 1, -1)
-                gone = np.cumsum(step[:-1]) > 0
+            ids, kept_rows = _ids(batch.column(names.index("_id"))), batch.column(names.index("_row"))
+            for i, j, data, bounds in chunks(text_in(batch, text_col), CHUNK):
+                step = np.zeros(len(data) + 1, np.int32)
+                for offset, part, within in pieces(data, bounds, CHUNK):
+                    a, b = found.windows_of(segments(part, within), ids[i:j])
+                    np.add.at(step, a + offset, 1)
+                    np.add.at(step, b + (offset + LENGTH - 1), -1)
+                gone = np.cumsum(step[:-1], dtype=np.int32) > 0
                 edge = np.zeros(len(data) + 1, bool)
                 edge[bounds] = True
                 start = np.flatnonzero(gone & (np.r_[True, ~gone[:-1]] | edge[:-1]))
                 end = np.flatnonzero(gone & (np.r_[~gone[1:], True] | edge[1:])) + 1
-                at = np.searchsorted(start, bounds)
+                at, rows = np.searchsorted(start, bounds), []
                 for x in range(j - i):
                     lo, hi = int(bounds[x]), int(bounds[x + 1])
                     mine = slice(int(at[x]), int(at[x + 1]))
                     kept = data[lo:hi] if at[x] == at[x + 1] else data[lo:hi][~gone[lo:hi]]
                     rows.append((hi - lo, start[mine] - lo, end[mine] - lo, kept.tobytes()))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(names.index("_row")), *(pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True))], ["_row", "_n_bytes", "_starts", "_ends", "_kept"])
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([kept_rows.slice(i, j - i), *columns], ["_row", "_n_bytes", "_starts", "_ends", "_kept"])
 
-    rows = docs.select(F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = carried(docs, keep, text_col, F.col(id_col).cast("long").alias("_id"))
     longs = F.array().cast("array<long>")
     schema = rows.select("_row", F.lit(0).cast("long").alias("_n_bytes"), longs.alias("_starts"), longs.alias("_ends"), F.lit(b"").alias("_kept")).schema
     return rows.mapInArrow(run, schema).select(*[F.col("_row").getField(c).alias(c) for c in keep], "_n_bytes", "_starts", "_ends", "_kept")

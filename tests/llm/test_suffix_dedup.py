@@ -79,6 +79,13 @@ def test_anchors_with_many_segments(spark):
         assert run(spark, rows, hot=hot) == brute(rows)
 
 
+def test_long_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(X, "CHUNK", 150)
+    r = random.Random(6)
+    rows = [(d, t + " ".join(str(r.randint(0, 30)) for _ in range(300)) + t) for d, t in made(6, 30)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_repetitive_texts(spark):
     rows = [(i, ("ab" * 100 if i % 2 else "a" * 130 + str(i)) + "c" * (i * 7)) for i in range(12)]
     assert run(spark, rows) == brute(rows)
