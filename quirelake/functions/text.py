@@ -229,6 +229,7 @@ def fence_classes(text: Column) -> Column:
     return F.transform(odd, lambda x: F.when(x == "mermaid", "mermaid").when(x.isin("math", "latex", "tex"), "math").otherwise("code"))
 
 
+# Fixed value: spans of formulas.
 MATH = r"\$\$[^$]+\$\$|\\\([^\n]+?\\\)|\\\[[^$]+?\\\]|\$[^\s$](?:[^$\n]*[^\s$])?\$"
 
 
@@ -242,14 +243,15 @@ def code_lines(code: Column) -> Column:
     return F.struct(n.alias("n_lines"), (n > 12).alias("folds"), (n > 3).alias("resizes"))
 
 
-# Guessed headings; labels are lower-cased
+# Guessed headings; labels are lower-cased.
+# Words that name a level, running heads, titles of contents.
 
 LEVELS = [
-    (r"^(part|teil|\x{447}\x{430}\x{441}\x{442}\x{44C}|\x{43A}\x{43D}\x{438}\x{433}\x{430}|\x{442}\x{43E}\x{43C})\s+([ivxlc]+|[0-9]+)\b", 1),
-    (r"^(chapter|kapitel|\x{433}\x{43B}\x{430}\x{432}\x{430}|\x{440}\x{430}\x{437}\x{434}\x{435}\x{43B})\s+[0-9ivxlc]+[.:)]?\s*\S", 2),
-    (r"^(appendix|preface|foreword|prologue|epilogue|introduction|conclusion|afterword|glossary|bibliography|references|notes|index|\x{43F}\x{440}\x{438}\x{43B}\x{43E}\x{436}\x{435}\x{43D}\x{438}\x{435}|\x{43F}\x{440}\x{435}\x{434}\x{438}\x{441}\x{43B}\x{43E}\x{432}\x{438}\x{435}|\x{437}\x{430}\x{43A}\x{43B}\x{44E}\x{447}\x{435}\x{43D}\x{438}\x{435}|\x{43F}\x{440}\x{438}\x{43C}\x{435}\x{447}\x{430}\x{43D}\x{438}\x{44F})(\s|$)", 2),
+    (r"^(part|teil|часть|книга|том)\s+([ivxlc]+|[0-9]+)\b", 1),
+    (r"^(chapter|kapitel|глава|раздел)\s+[0-9ivxlc]+[.:)]?\s*\S", 2),
+    (r"^(appendix|preface|foreword|prologue|epilogue|introduction|conclusion|afterword|glossary|bibliography|references|notes|index|приложение|предисловие|заключение|примечания)(\s|$)", 2),
 ]
-RUNNING = r"^(references|notes|index|contents|bibliography|\x{43E}\x{433}\x{43B}\x{430}\x{432}\x{43B}\x{435}\x{43D}\x{438}\x{435}|\x{441}\x{43E}\x{434}\x{435}\x{440}\x{436}\x{430}\x{43D}\x{438}\x{435}|\x{43F}\x{440}\x{438}\x{43C}\x{435}\x{447}\x{430}\x{43D}\x{438}\x{44F})\s*[0-9]*$|^(epilogue|prologue|appendix|glossary)\s+[0-9]+$"
+RUNNING = r"^(references|notes|index|contents|bibliography|оглавление|содержание|примечания)\s*[0-9]*$|^(epilogue|prologue|appendix|glossary)\s+[0-9]+$"
 CONTENTS = ("contents", "table of contents", "document outline", "оглавление", "содержание")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Hits that are kept.
+# Fixed value: hits that are kept.
 LIMIT = 1000
 #: Elements whose text is not searched.
 SKIPPED = r"(?is)<(script|style|noscript|svg|math|template)\b.*?</\1\s*>"

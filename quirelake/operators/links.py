@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Schemes that lead out of a book.
+# Schemes that lead out of a book, and attributes that hold a reference.
 EXTERNAL = ("http:", "https:", "file:", "data:", "mailto:", "tel:", "javascript:", "blob:")
 LINK = r'(?i)\b(?:src|href|poster)="[^"]+"'
 

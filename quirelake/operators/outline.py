@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Headings kept of a book.
+# Headings kept of a book, and what a heading is.
 LIMIT = 800
 HEADING = r"(?is)<h([1-3])([^>]{0,400})>(.{0,600}?)</h\1\s*>"
 

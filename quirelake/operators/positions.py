@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a prune keeps.
+# Fixed value: rows that a prune keeps.
 KEEP = 5000
 
 
