@@ -9,14 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import chm, comic, djvu, epub, fb2, markdown
+from . import chm, comic, djvu, epub, fb2, markdown, mobi
 from .common import extension
 from .model import SCHEMA, ParseError
 
 # Parsers by extension.
-PARSERS = {"epub": epub, "fb2": fb2, "cbz": comic, "cbt": comic, "chm": chm, "djvu": djvu, "djv": djvu, "md": markdown, "markdown": markdown, "mdx": markdown}
-#: The container of these needs a decoder that is not built.
-UNREAD = ("mobi", "azw", "azw3")
+PARSERS = {"epub": epub, "fb2": fb2, "cbz": comic, "cbt": comic, "chm": chm, "djvu": djvu, "djv": djvu, "mobi": mobi, "azw": mobi, "azw3": mobi, "md": markdown, "markdown": markdown, "mdx": markdown}
 TABLES = ("sections", "toc", "resources", "pages", "bookmarks")
 
 
@@ -24,8 +22,6 @@ def parse(path: str, content: bytes, sections: int | None = None, resources: boo
     """A row; a file that cannot be read becomes a row with parse_error."""
     ext = extension(path)
     try:
-        if ext in UNREAD:
-            raise ParseError("MOBI containers are not decoded")
         if ext not in PARSERS:
             raise ParseError("unsupported format")
         return PARSERS[ext].parse(content, path, sections, resources).row(path)

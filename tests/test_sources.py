@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.sources import chm, comic, djvu, epub, fb2, images, lzx, markdown, reader
+from quirelake.sources import chm, comic, djvu, epub, fb2, images, lzx, markdown, mobi, reader
 from quirelake.sources.model import ParseError
 
 
@@ -251,6 +251,44 @@ def test_chm():
         chm.parse(b"ITSF" + b"\0" * 200, "x")
 
 
+def mobi_file(records, text, packing=1, locked=0, flags=0, title=b"Full", exth=()):
+    body = b"".join(struct.pack(">II", k, len(v) + 8) + v for k, v in exth)
+    extra = b"EXTH" + struct.pack(">II", 12 + len(body), len(exth)) + body
+    head = bytearray(16 + 232)
+    head[:16] = struct.pack(">HHIHHHH", packing, 0, len(text), len(records), 4096, locked, 0)
+    head[16:32] = b"MOBI" + struct.pack(">III", 232, 2, 65001)
+    head[84:92] = struct.pack(">II", 248 + len(extra), len(title))
+    head[108:112] = struct.pack(">I", len(records) + 1)
+    head[128:132] = struct.pack(">I", 0x40)
+    head[242:244] = struct.pack(">H", flags)
+    whole = [bytes(head) + extra + title, *records, b"\xff\xd8\xffjpeg", b"FLIS"]
+    start = 78 + 8 * len(whole) + 2
+    out, at = bytearray(60) + b"BOOKMOBI" + bytes(8) + struct.pack(">H", len(whole)), start
+    for r in whole:
+        out += struct.pack(">II", at, 0)
+        at += len(r)
+    return bytes(out) + b"\0\0" + b"".join(whole)
+
+
+def test_mobi():
+    text = "<html><head><guide></guide></head><body><h1>Å</h1><p>one <a filepos=0000000060>go</a></p><img recindex='00001'/></body></html>".encode()
+    exth = [(100, b"A"), (100, b"B"), (503, b"Title"), (524, b"en"), (113, b"id")]
+    b = mobi.parse(mobi_file([text[:50], text[50:]], text, exth=exth), "x.mobi")
+    assert (b.title, b.author, b.language, b.identifier) == ("Title", "A, B", "en", "id")
+    at = mobi.place(text, 60)
+    want = text[:at] + b'<a id="fp60"></a>' + text[at:]
+    want = want.replace(b"filepos=0000000060", b'href="#fp60"').replace(b"recindex='00001'", b'src="mobi/0"')
+    assert b.sections[0][4].encode() == want[want.index(b"<h1>") : want.index(b"</body>")]
+    assert b.resources == [("mobi/0", "image/jpeg", b"\xff\xd8\xffjpeg")]
+    assert mobi.unpacked(b"ab\x03\0\x80\xff" + bytes([0x80 | 5 << 3 >> 8, (5 << 3 | 1) & 0xFF]) + bytes([0xC0 | ord("t") & 0x3F | 0x20])) == b"ab\0\x80\xffab\0\x80 t"
+    assert mobi.trimmed(b"text" + b"\x01\xaa", 1) == b"text\x01\xaa"[: 6 - (0xAA & 3) - 1]
+    assert mobi.trimmed(b"text" + b"zz\x83", 2) == b"text"
+    assert mobi.parse(mobi_file([b"ab\xc1"], b"ab a", packing=2), "d/y.mobi").sections[0][4] == "ab A"
+    for bad in (b"x", mobi_file([text], text, locked=2), mobi_file([text], text, packing=17480)):
+        with pytest.raises(ParseError):
+            mobi.parse(bad, "x")
+
+
 def test_read_books(spark, tmp_path):
     (tmp_path / "a.epub").write_bytes(zipped(book_files()))
     (tmp_path / "sub").mkdir()
