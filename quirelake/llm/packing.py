@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import staged, table
+from .words import buffers
 
 #: Tokens of a sequence, tokens by which a length class is rounded up, ranks kept apart within a class.
 CAPACITY, WIDTH, BUCKETS = 2048, 8, 1024
@@ -74,8 +75,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         encode, at = _encoders[vocabulary], TaskContext.get().partitionId() * 7919
         for batch in batches:
             column, i = batch.column(1), 0
-            lengths = np.diff(np.frombuffer(column.fill_null("").cast(pa.large_string()).buffers()[1], np.int64)[: batch.num_rows + 1])
-            total = np.cumsum(lengths)
+            total = np.cumsum(np.diff(buffers(column)[1]))
             rows, starts, sizes, sums, totals, kept = [], [], [], [], [], []
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + (2 << 20), "right")))

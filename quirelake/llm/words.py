@@ -111,10 +111,14 @@ class Words:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and row bounds of a text column; null as empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """UTF-8 bytes and row bounds of a text column; null as empty. The bytes are not copied unless there are nulls."""
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, bounds, data = column.buffers()
-    at = np.frombuffer(bounds, np.int64)[column.offset : column.offset + len(column) + 1]
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(bounds, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     return np.frombuffer(data or b"", np.uint8), at
 
 
