@@ -33,8 +33,9 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     Where the ranks of the same byte-level vocabulary lie beside it, they are used: they give the
-    same ids in a fraction of the time. Texts that hold an added token's string, and vocabularies
-    without ranks, go through `tokenizers`.
+    same ids in a fraction of the time. Texts that hold an added token's string, texts on which the
+    ranks' pattern fails (white space of about a million characters on end exceeds its stack), and
+    vocabularies without ranks go through `tokenizers`.
     """
 
     def __init__(self, path: str):
@@ -53,10 +54,15 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if self.ranks is None or any(x in text for x in self.added):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes())
+            ids = None
+            if self.ranks is not None and not any(x in text for x in self.added):
+                try:
+                    ids = self.ranks.encode_to_numpy(text, disallowed_special=())
+                except ValueError:
+                    pass
+            if ids is None:
+                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            out.append(ids.astype("<u4").tobytes())
         return out
 
 

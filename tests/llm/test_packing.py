@@ -36,6 +36,13 @@ def test_encoder_equals_whole_text():
         assert encode([text])[0] == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+def test_long_white_space():
+    whole, encode = Tokenizer.from_file(PATH), K.Encoder(PATH)
+    for space in (" ", "\n"):
+        for text in (f"a{space * 2_000_000}b", space * 2_000_000):
+            assert encode([text, "next"])[0] == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def verify(spark, rows):
     frame = spark.createDataFrame([(d, t, 5, 6) for d, t in rows], "doc_id long, text string, start int, class int")
     got = K.pack(frame, PATH, with_ids=True).collect()
