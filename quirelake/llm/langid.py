@@ -153,19 +153,20 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train
     """A model of the labelled rows of docs: document frequencies of all, weights of about train_rows.
 
     The rows that fit the weights are those whose hash of text and label falls under their
-    language's share, so the sample is the same at every run; limit() bounds what repeated rows
-    could add. Without labelled rows the model knows no language.
+    language's share; rows with equal text and label are one there, so copies add nothing and the
+    sample is the same at every run. Without labelled rows the model knows no language.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    place = F.xxhash64(text_col, lang_col)
+    counts = {r[0]: r[1] for r in known.select(F.col(lang_col).alias("lang"), place.alias("h")).distinct().groupBy("lang").count().collect()}
     df, rows = _frequencies(known, text_col)
     idf = np.log((1 + rows) / (1 + df)) + 1
     if not counts:
         return Model([], idf, np.zeros((1 << BITS, 0)), np.zeros(0))
     each = max(50, train_rows // len(counts))
     chance = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
-    place = F.pmod(F.xxhash64(text_col, lang_col), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(place < F.element_at(chance, F.col(lang_col))).limit(2 * each * len(counts))
+    share = F.pmod(place, F.lit(1 << 30)) / float(1 << 30)
+    sample = known.where(share < F.element_at(chance, F.col(lang_col))).select(text_col, lang_col).distinct()
     found = _featured(sample, text_col, lang_col).toArrow().to_pylist()
     found = [(np.array(r["at"], np.int64), np.array(r["tf"], np.float64), r["lang"]) for r in found if r["at"]]
     found.sort(key=lambda r: (len(r[0]), r[2], r[0].tobytes(), r[1].tobytes()))

@@ -41,3 +41,18 @@ def test_edges(spark):
     empty = spark.createDataFrame([], made)
     assert L.language_id(empty, ["doc_id"], L.train(empty)).collect() == []
     assert {r.lang_pred for r in L.language_id(docs, ["doc_id"], L.train(empty)).collect()} == {"und"}
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    made = "text string, lang string"
+    place = F.pmod(F.xxhash64("text", F.lit("en")), F.lit(1 << 30)) / float(1 << 30)
+    common = spark.range(4000).select(F.concat(F.lit("the cat and the dog "), F.col("id").cast("string")).alias("text")).where(place < 0.01).first()[0]
+    words = {"en": ("the", "cat", "dog", "were", "there"), "de": ("der", "hund", "und", "die", "katze")}
+    rows = [(common, "en")] * 3000 + [(" ".join(words[k][(i // 5**j) % 5] for j in range(4)), k) for i in range(300) for k in ("en", "de")]
+    docs = spark.createDataFrame(rows, made)
+    one = L.train(docs.coalesce(1), train_rows=100)
+    two = L.train(docs.repartition(7), train_rows=100)
+    assert one.predict("der hund und die katze")[0] == "de" and one.predict("the cat there")[0] == "en"
+    assert [one.predict(t) for t, _ in rows[2990:3050]] == [two.predict(t) for t, _ in rows[2990:3050]]
