@@ -44,7 +44,11 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 #: Parts that hold articles of their own.
 _NESTED = re.compile(r"comment|repl|respon|related|recommended", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HIDDEN = re.compile(r"hidden|display\s*:\s*none", re.I)
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_UNSEEN = re.compile(r"<(script|style|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+_FORM_END = re.compile(r"</form\b", re.I)
 
 
 @dataclass
@@ -65,10 +69,25 @@ def named(attrs: str, inside: bool) -> bool:
     return False
 
 
+def hidden(attrs: str) -> bool:
+    """Whether the attribute hidden, aria-hidden="true" or the style display:none is among attrs."""
+    if not _HIDDEN.search(attrs):
+        return False
+    for found in _ATTRIBUTE.finditer(attrs):
+        name, value = found[1].lower(), found[2] or found[3] or found[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NONE.search(value):
+            return True
+    return False
+
+
+def _count(source: str) -> int:
+    return len(html.unescape(_UNSEEN.sub(" ", source)).split())
+
+
 def parse(source: str | None) -> Page:
     """Tokens of what a page shows, without the parts that markup names as something else."""
     page, source = Page(), source or ""
-    at, cut, depth, nested, marked = 0, "", 0, False, []
+    at, cut, depth, nested, marked, total = 0, "", 0, False, [], -1
     n = len(source)
 
     def text(part: str) -> None:
@@ -109,7 +128,12 @@ def parse(source: str | None) -> Page:
                 cut = ""
             else:
                 continue
-        if not end and tag not in VOID and (tag in CHROME or tag == "header" and not marked or named(attrs, bool(marked)) and tag not in ("body", "html", *ARTICLE) or _HIDDEN.search(attrs) and tag not in ("body", "html")):
+        whole = False  # a form around most of the page's words
+        if tag == "form" and not end:
+            total = _count(source) if total < 0 else total
+            close = _FORM_END.search(source, at)
+            whole = 2 * _count(source[at : close.start() if close else n]) > total
+        if not end and tag not in VOID and (not whole and (tag in CHROME or tag == "header" and not marked or named(attrs, bool(marked)) and tag not in ("body", "html", *ARTICLE)) or hidden(attrs) and tag not in ("body", "html")):
             cut, depth, nested = tag, 1, bool(_NESTED.search(attrs))
             page.blocks.append([])
             page.tokens.append((tag, 0, len(page.blocks) - 1, bool(marked)))

@@ -51,3 +51,18 @@ def test_weights():
     w = H.weights(seen)
     assert w[""] > 0 and w["div"] < -2 and w["p"] == -0.02
     assert H.weights(H.Counter()) == {"": H.WORD}
+
+
+def test_hidden_is_an_attribute_or_a_style():
+    body = "<p>some words of the article stay here</p>"
+    for attrs in ('class="overflow-hidden"', 'style="overflow:hidden"', 'aria-hidden="false"', 'data-x="/hidden-valley"', 'title="the hidden text"', 'data-note="display: none"'):
+        assert H.extract(f"<div {attrs}>{body}</div>", DEFAULT) == "some words of the article stay here", attrs
+    for attrs in ("hidden", 'hidden=""', "class=x hidden", "aria-hidden=true", "style='color: red; display : none'"):
+        assert H.extract(f"{body}<div {attrs}><p>gone</p></div>", DEFAULT) == "some words of the article stay here", attrs
+
+
+def test_a_form_around_the_page_stays():
+    inner = "<div><p>some words of the article stay here</p></div>"
+    for form in ("<form>", '<form id="aspnetForm" class="form" action="/x">'):
+        assert H.extract(f"<body>{form}{inner}</form><p>foot</p></body>", DEFAULT).startswith("some words of the article stay here")
+    assert H.extract(f"{inner}<form><p>your mail</p></form>", DEFAULT) == "some words of the article stay here"
