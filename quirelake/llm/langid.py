@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import carried, table, text_in
+from .shared import beside, mapped, small_batches, table
 
 #: Features are n-gram hashes of this many bits.
 BITS = 15
@@ -121,13 +121,21 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, epochs:
     return model
 
 
-def _featured(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+def _featured(docs: DataFrame, text_col: str, lang_col: str) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    """Features, their weights and the label of each row that has features, as views of Arrow buffers, in an order of their own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(x.as_py()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([t for _, t in found], pa.list_(pa.float32())), batch.column(1)], ["at", "tf", "lang"])
 
-    return docs.select(text_col, lang_col).mapInArrow(run, "at array<int>, tf array<float>, lang string")
+    table, out = docs.select(text_col, lang_col).mapInArrow(run, "at array<int>, tf array<float>, lang string").toArrow(), []
+    for batch in table.to_batches():
+        at, tf = batch.column(0), batch.column(1)
+        bounds, ids, values = at.offsets.to_numpy(), at.values.to_numpy(), tf.values.to_numpy()
+        shift = tf.offsets.to_numpy()[0] - bounds[0] if len(bounds) else 0
+        out += [(ids[a:b], values[a + shift : b + shift], lang) for a, b, lang in zip(bounds[:-1].tolist(), bounds[1:].tolist(), batch.column(2).to_pylist(), strict=True) if b > a]
+    return sorted(out, key=lambda r: (len(r[0]), r[2], r[0].tobytes(), r[1].tobytes()))
 
 
 def _frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
@@ -156,6 +164,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train
     language's share; rows with equal text and label are one there, so copies add nothing and the
     sample is the same at every run. Without labelled rows the model knows no language.
     """
+    small_batches(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     place = F.xxhash64(text_col, lang_col)
     counts = {r[0]: r[1] for r in known.select(F.col(lang_col).alias("lang"), place.alias("h")).distinct().groupBy("lang").count().collect()}
@@ -167,10 +176,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train
     chance = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
     share = F.pmod(place, F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(share < F.element_at(chance, F.col(lang_col))).select(text_col, lang_col).distinct()
-    found = _featured(sample, text_col, lang_col).toArrow().to_pylist()
-    found = [(np.array(r["at"], np.int64), np.array(r["tf"], np.float64), r["lang"]) for r in found if r["at"]]
-    found.sort(key=lambda r: (len(r[0]), r[2], r[0].tobytes(), r[1].tobytes()))
-    return fit(found, idf)
+    return fit(_featured(sample, text_col, lang_col), idf)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -178,24 +184,25 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2
 
 
+def predicted(model: Model, text: Column, spark: SparkSession) -> Column:
+    """A struct of lang and score (the calibrated probability) for each text, which alone goes to Python."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = [shared.value.predict(x.as_py()) for x in texts]
+        return pa.StructArray.from_arrays([pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], ["lang", "score"])
+
+    return mapped(spark, run, "lang string, score double", text)
+
+
 def language_id(docs: DataFrame, keep: list[str], model: Model, text_col: str = "text") -> DataFrame:
     """keep's columns of every row, lang_pred and score (the calibrated probability, 0 to 1).
 
     Null texts and texts without a letter get `und` and 0; so does every text when the model knows
-    no language. Repeated rows get equal results; whole texts are read; an empty table gives no
-    row. keep may hold columns of any name.
+    no language. Repeated rows get equal results; whole texts are read, however long; an empty table
+    gives no row. keep may hold columns of any name; one named like a result gives way to it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            found = [shared.value.predict(x.as_py()) for x in text_in(batch, text_col)]
-            yield pa.RecordBatch.from_arrays([batch.column(names.index("_row")), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], ["_row", "_lang", "_score"])
-
-    rows = carried(docs, keep, text_col)
-    schema = rows.select("_row", F.lit("").cast("string").alias("_lang"), F.lit(0.0).alias("_score")).schema
-    return rows.mapInArrow(run, schema).select(*[F.col("_row").getField(c).alias(c) for c in keep], F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    return beside(docs, keep, predicted(model, F.col(text_col), docs.sparkSession), {"lang": "lang_pred", "score": "score"})
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

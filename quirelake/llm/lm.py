@@ -16,15 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashfiles import Files, cuts, joined, local_folder, runs, write
-from .shared import carried, stage_path, table, text_in, text_of
+from .shared import beside, mapped, small_batches, stage_path, table, text_of
 from .words import SPACED, Words, chunks, mixed
 
 #: Hashes of what precedes a text and of its end.
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Tokens that a map task folds at once; bytes of text for each shard of the model, about.
 FOLD, SHARD_BYTES = 2 << 20, 24 << 20
-#: Shards of the table of words.
-WORD_SHARDS = 64
+#: Bits of the number of shards of words beyond those of the grid; a shard of bigrams meets two to this power.
+WORD_BITS = 3
 
 
 def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +97,7 @@ class Model:
     unseen: float  # the share of the unigrams that goes to the uniform distribution
 
     def __post_init__(self) -> None:
-        self.by_word = Files(self.folder, "word", WORD_SHARDS.bit_length() - 1, {x: np.int64 for x in ("c", "cc", "ctx", "n1", "n2", "n3")})
+        self.by_word = Files(self.folder, "word", self.grid + WORD_BITS, {x: np.int64 for x in ("c", "cc", "ctx", "n1", "n2", "n3")})
         self.by_pair = Files(self.folder, "pair", 2 * self.grid, {"c": np.uint32})
 
     def score(self, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,6 +135,7 @@ def train(docs: DataFrame, text_col: str = "text", grid: int | None = None) -> M
     Shards grow in number with the bytes of text, so their size stays; each is merged in one task.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(text_of(text_col).alias("text"))
     if grid is None:
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -171,10 +172,10 @@ def train(docs: DataFrame, text_col: str = "text", grid: int | None = None) -> M
         rows = []
         for role, keys, values in ((0, w, (c, one)), (1, v, (c, c == 1, c == 2, c >= 3))):
             keys, sums = _grouped(keys, *(x.astype(np.int64) for x in values))
-            where = (keys >> np.uint64(64 - (WORD_SHARDS.bit_length() - 1))).astype(np.int64)
+            where = (keys >> np.uint64(64 - grid - WORD_BITS)).astype(np.int64)
             width = np.uint32 if max(x.max() for x in sums) < 2**32 else np.uint64
             rows += [(int(where[a]), role, keys[a:b].tobytes(), np.stack([x[a:b] for x in sums]).astype(width).tobytes()) for a, b in cuts(where)]
-        rows.append((shard % WORD_SHARDS, 2, b"", np.array([(c == k).sum() for k in (1, 2, 3, 4)] + [len(c)], np.int64).tobytes()))
+        rows.append((shard % (1 << grid + WORD_BITS), 2, b"", np.array([(c == k).sum() for k in (1, 2, 3, 4)] + [len(c)], np.int64).tobytes()))
         return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _WORDS, strict=True)], schema=_WORDS)
 
     def finish(data: pa.Table) -> pa.Table:
@@ -220,23 +221,19 @@ def lm_score(docs: DataFrame, keep: list[str], model: Model, text_col: str = "te
     hold columns of any name.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            n, known, base, score = (np.zeros(batch.num_rows, kind) for kind in (np.int64, np.int64, np.float64, np.float64))
-            for i, j, data, bounds in chunks(text_in(batch, text_col)):
-                w, v, sizes = tokens(data, bounds)
-                at = np.cumsum(sizes) - sizes
-                n[i:j] = sizes
-                for out, x in zip((known, base, score), model.score(w, v), strict=True):
-                    out[i:j] = np.add.reduceat(x.astype(out.dtype), at)
-            yield pa.RecordBatch.from_arrays([batch.column(names.index("_row")), *map(pa.array, (n, known, base, score))], ["_row", "_n", "_known", "_base", "_score"])
-
-    rows = carried(docs, keep, text_col)
-    zero = F.lit(0).cast("long")
-    schema = rows.select("_row", zero.alias("_n"), zero.alias("_known"), F.lit(0.0).alias("_base"), F.lit(0.0).alias("_score")).schema
-    named = [F.col(a).alias(b) for a, b in (("_n", "n_tokens"), ("_known", "n_known"), ("_base", "base_score"), ("_score", "score"))]
-    return rows.mapInArrow(run, schema).select(*[F.col("_row").getField(c).alias(c) for c in keep], *named)
+    def run(texts: pa.Array) -> pa.Array:
+        n, known, base, score = (np.zeros(len(texts), kind) for kind in (np.int64, np.int64, np.float64, np.float64))
+        for i, j, data, bounds in chunks(texts):
+            w, v, sizes = tokens(data, bounds)
+            at = np.cumsum(sizes) - sizes
+            n[i:j] = sizes
+            for out, x in zip((known, base, score), model.score(w, v), strict=True):
+                out[i:j] = np.add.reduceat(x.astype(out.dtype), at)
+        return pa.StructArray.from_arrays([pa.array(x) for x in (n, known, base, score)], ["n_tokens", "n_known", "base_score", "score"])
+
+    results = ("n_tokens", "n_known", "base_score", "score")
+    found = mapped(docs.sparkSession, run, "n_tokens long, n_known long, base_score double, score double", F.col(f"`{text_col}`"))
+    return beside(docs, keep, found, {x: x for x in results})
 
 
 def held_out(id_col: str = "doc_id") -> Column:

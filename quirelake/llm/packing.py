@@ -7,7 +7,7 @@ dynamic program prices. Rounded patterns are then filled with the ranked pieces
 
 from __future__ import annotations
 
-import base64
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -19,51 +19,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import staged, table
+from .shared import small_batches, staged, table
 from .words import buffers
 
 #: Tokens of a sequence, tokens by which a length class is rounded up, ranks kept apart within a class.
 CAPACITY, WIDTH, BUCKETS = 2048, 8, 1024
 #: The id that ends a document.
 END = 1
+#: Characters of text that are encoded at once.
+SLICE = 1 << 20
 # Fixed value: how the byte-level vocabulary cuts a text before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+
+def ranks_of(made: dict) -> dict[bytes, int] | None:
+    """Bytes and id of each token of a byte-level vocabulary whose ids are the order of its merges; None of any other."""
+    model, before = made.get("model") or {}, made.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or made.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    if any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]  # bytes written as their own character
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    added = {x["content"] for x in made.get("added_tokens") or ()}
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in added}
+    pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+    ids = [vocabulary.get(a + b, -1) for a, b in pairs]
+    if sorted(ids) != ids or ids[:1] == [-1] or len(set(ids)) + 256 != len(vocabulary) or not all(c in byte for t in vocabulary for c in t):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in vocabulary.items()}
+
+
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+    """Token ids of texts as `tokenizers` gives them, as little-endian unsigned 32-bit bytes.
 
-    Where the ranks of the same byte-level vocabulary lie beside it, they are used: they give the
-    same ids in a fraction of the time. Texts that hold an added token's string, texts on which the
-    ranks' pattern fails (white space of about a million characters on end exceeds its stack), and
-    vocabularies without ranks go through `tokenizers`.
+    The vocabulary file decides. If it is byte-level and its ids are the order of its merges, as in
+    byte_bpe_50k.json, the same merges are run by `tiktoken`, which makes equal ids in a third of
+    the time. Texts that hold an added token, texts on which its pattern fails (white space of
+    about a million characters on end), and any other vocabulary go through `tokenizers` itself.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ranks = Tokenizer.from_file(path), None
+        self.tokenizer, self.quick = Tokenizer.from_file(path), None
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        if os.path.exists(beside := path.removesuffix(".json") + ".tiktoken"):
+        with open(path, encoding="utf-8") as source:
+            ranks = ranks_of(json.load(source))
+        if ranks:
             import tiktoken
 
-            with open(beside, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.quick = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.quick is None or any(x in text for x in self.added):
+            return self.plain(text)
+        try:
+            return self.quick.encode_to_numpy(text, disallowed_special=())
+        except ValueError:
+            return self.plain(text)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            ids = None
-            if self.ranks is not None and not any(x in text for x in self.added):
-                try:
-                    ids = self.ranks.encode_to_numpy(text, disallowed_special=())
-                except ValueError:
-                    pass
-            if ids is None:
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            out.append(ids.astype("<u4").tobytes())
-        return out
+        return [self.ids(text).astype("<u4").tobytes() for text in texts]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -84,7 +105,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             total = np.cumsum(np.diff(buffers(column)[1]))
             rows, starts, sizes, sums, totals, kept = [], [], [], [], [], []
             while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + (2 << 20), "right")))
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + SLICE, "right")))
                 for r, ids in enumerate(encode([x or "" for x in column.slice(i, j - i).to_pylist()]), i):
                     ids += END.to_bytes(4, "little")
                     n = len(ids) // 4
@@ -101,6 +122,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 arrays.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, [id_col, "start", "length", "ids_crc32", "doc_tokens", "bucket", *["ids"] * with_ids])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, bucket long" + ", ids array<int>" * with_ids)
 
@@ -223,7 +245,7 @@ def plan(cls: np.ndarray, bucket: np.ndarray, n: np.ndarray, capacity: int = CAP
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, width: int = WIDTH, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    Null and empty texts are one piece that holds the end id. A row is cut only where it exceeds a
+    Null and empty texts are one piece that holds the end id; a text of any length is encoded whole. A row is cut only where it exceeds a
     sequence; every id lies in one piece. Rows with equal ids or texts are packed each on its own.
     An empty table gives no row; other columns of docs are ignored.
 

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of one Arrow batch that Python gets, about; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that all executors see: spark.checkpoint.dir, or in local mode an own one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quirelake-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -40,17 +47,45 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def carried(docs: DataFrame, keep: list[str], text_col: str, *more: Column) -> DataFrame:
-    """_row, a struct of keep's columns, and `more`; _text too where the text is not in keep."""
-    row = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
-    text = [] if text_col in keep else [F.col(text_col).alias("_text")]
-    return docs.select(row.alias("_row"), *text, *more)
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like `name` that is none of columns."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at once, unless the session says how much."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def mapped(spark: SparkSession, run: Callable[[pa.Array], pa.Array], kind: str, column: Column) -> Column:
+    """run over the Arrow batches of one column; the other columns of a row stay in the JVM."""
+    small_batches(spark)
+
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(run, batches)
+
+    return F.arrow_udf(each, kind)(column)
+
+
+def mapped_pairs(spark: SparkSession, run: Callable[[pa.Array, pa.Array], pa.Array], kind: str, one: Column, two: Column) -> Column:
+    """The same over two columns."""
+    small_batches(spark)
+
+    def each(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            yield run(a, b)
+
+    return F.arrow_udf(each, kind)(one, two)
 
 
-def text_in(batch, text_col: str):
-    """The text column of a batch of carried()."""
-    names = batch.schema.names
-    return batch.column(names.index("_text")) if "_text" in names else batch.column(names.index("_row")).field(text_col)
+def beside(docs: DataFrame, keep: list[str], found: Column, results: dict[str, str]) -> DataFrame:
+    """keep's columns and the fields of found, as results names them; a kept column of such a name gives way to it."""
+    names = {x.lower() for x in results.values()}
+    return docs.select(*[F.col(f"`{c}`") for c in keep if c.lower() not in names], *[found.getField(x).alias(y) for x, y in results.items()])
 
 
 #: SHA-256 of nothing.

@@ -1,8 +1,9 @@
 """SimHash near-dedup with bit-sliced comparison.
 
-Fingerprints that differ in at most r of 64 bits agree in at least two of r + 2 blocks of bits, so
-each one is dealt under every pair of blocks; what meets under a key is compared with its bit
-planes stored vertically: 64 fingerprints to a word, distances in carry-save counters.
+Fingerprints that differ in at most r of 64 bits agree in at least c of r + c blocks of bits, so
+each one is dealt under every c blocks; the more fingerprints, the larger c. What meets under a key
+is compared with its bit planes stored vertically: 64 fingerprints to a word, distances in
+carry-save counters.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import staged, table
+from .shared import small_batches, staged, table
 
 #: Fingerprints that one task compares with each other; larger groups are split into cells.
 CELL = 4096
@@ -142,26 +143,40 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = np.fromiter((fingerprint(x.as_py(), words, seed) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], [id_col, "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
-def links(prints: DataFrame, radius: int = 4, cell: int = CELL) -> DataFrame:
+def blocks_that_agree(n: int, radius: int, cell: int) -> int:
+    """So many that random fingerprints under one key stay well below a cell."""
+    c = 2
+    while n >> (64 * c // (c + radius)) > cell // 4 and c < 8:
+        c += 1
+    return c
+
+
+def links(prints: DataFrame, radius: int = 4, cell: int = CELL, agree: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints of column fp: a spanning forest of each compared group.
 
     Every two fingerprints within radius meet in some group, so the links connect exactly what is
     connected; copies are not expanded into pairs. A group above `cell` prints is dealt into chunks
     and every two chunks meet in a cell of their own, so no task holds more than two chunks.
     """
-    n = radius + 2
+    agree = agree or blocks_that_agree(prints.count(), radius, cell)
+    n = radius + agree
     edges = [round(64 * k / n) for k in range(n + 1)]
     fp = F.col("fp")
 
     def block(i: int):
         return F.shiftrightunsigned(fp, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
 
-    keys = [
-        (F.lit(k) * F.lit(1 << 40) + F.shiftleft(block(i), edges[j + 1] - edges[j]) + block(j)) for k, (i, j) in enumerate(combinations(range(n), 2))
-    ]
+    def key(k: int, chosen: tuple[int, ...]):
+        found = block(chosen[0])
+        for i in chosen[1:]:
+            found = F.shiftleft(found, edges[i + 1] - edges[i]) + block(i)
+        return F.lit(k) * F.lit(1 << 52) + found
+
+    keys = [key(k, chosen) for k, chosen in enumerate(combinations(range(n), agree))]
     dealt = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
     large = staged(dealt.groupBy("key").count().where(F.col("count") > cell).select("key", F.ceil(F.col("count") / (cell // 2)).cast("long").alias("parts")), "large")
     if many := large.count():
@@ -205,7 +220,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A-Z is lower-cased; words are what ASCII white space separates; shingles have `words` words.
     Null and empty texts, and texts of white space, have fingerprint zero and link with each other.
     Rows with the same fingerprint are one node, however many they are. Repeated ids fall into one
-    component only if their fingerprints do. Null ids take part; a component of null ids only has a
+    component only if their fingerprints do. A text of any length is read whole. Null ids take part; a component of null ids only has a
     null component_id. Other columns of docs are ignored; an empty table gives no row.
     """
     prints = staged(fingerprints(docs, id_col, text_col, words, seed), "prints")

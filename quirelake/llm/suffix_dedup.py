@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashfiles import Files, by_shard, cuts, joined, local_folder, runs, write
-from .shared import carried, stage_path, table, text_in, text_of
+from .shared import beside, mapped_pairs, small_batches, stage_path, table, text_of
 from .words import P, chunks, mixed, powers
 
 #: Bytes of a repeated string, of an anchor, and of the context that splits an anchor's segments.

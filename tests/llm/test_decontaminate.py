@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from quirelake.llm.decontaminate import contamination
 
@@ -65,3 +66,26 @@ def test_edges(spark):
     check(spark, docs, [(1, "Two three"), (1, "one"), (None, "three"), (2, None), (3, "..."), (4, " ".join(str(i) for i in range(20, 35)))])
     check(spark, docs[:-1], [])
     check(spark, [], [(1, "a b")])
+
+
+def test_repeated_words_end_soon(spark):
+    began = time.time()
+    frame = spark.createDataFrame([(1, "la " * 20000), (2, "lo li " * 9000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "la " * 1000), (2, "li lo " * 400)], "item_id long, text string")
+    rows = contamination(frame, items, ["doc_id"]).orderBy("doc_id").collect()
+    assert [(r._starts, r._ends, r._items) for r in rows] == [([0], [20000], ["1"]), ([0], [18000], ["2"])]
+    assert time.time() - began < 60
+
+
+def test_ties_against_brute_force(spark):
+    r = random.Random(9)
+    words = lambda n: " ".join(r.choice("aab") for _ in range(n))
+    check(spark, [(i, words(r.randint(0, 60))) for i in range(40)], [(i, words(r.choice([2, 9, 10, 14, 40]))) for i in range(8)])
+
+
+def test_columns_with_clashing_names(spark):
+    frame = spark.createDataFrame([(1, "a b", "x", 1)], "doc_id long, text string, _starts string, spans int")
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    for more in ({}, {"block_bytes": 1}):
+        got = contamination(frame, items.union(spark.createDataFrame([(2, "q")], items.schema)), frame.columns, **more)
+        assert got.columns == ["doc_id", "text", "spans", "_n_words", "_starts", "_ends", "_items"] and got.first()._starts == [0]

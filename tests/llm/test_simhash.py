@@ -75,6 +75,13 @@ def test_groups_split_into_cells(spark):
     assert whole == {frozenset(x) for x in components_of(S.links(frame, cell=4).collect())}
 
 
+def test_more_blocks_give_the_same_links(spark):
+    frame = spark.createDataFrame([(S.fingerprint(t) - (1 << 64 if S.fingerprint(t) >> 63 else 0),) for _, t in near_copies(300, 8)], "fp long").distinct()
+    whole = components_of(S.links(frame).collect())
+    assert all(components_of(S.links(frame, agree=c).collect()) == whole for c in (3, 4))
+    assert [S.blocks_that_agree(n, 4, 4096) for n in (10**6, 10**10, 10**12)] == [2, 3, 4]
+
+
 def components_of(links):
     groups = {}
     for a, b in links:
