@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+from collections import OrderedDict
 from urllib.parse import urlparse
 
 import numpy as np
 
 
+#: Files that one worker maps at a time.
+MAPS = 4096
+
+
 def local_folder(path: str) -> str:
     """The shared folder as a path that workers can map; it has to be mounted."""
     url = urlparse(path)
@@ -42,21 +47,39 @@ def write(folder: str, name: str, **arrays: np.ndarray) -> None:
 
 
 class Files:
-    """Shards of sorted keys with fields; a shard is the first bits of a key."""
+    """Shards of sorted keys with fields; a shard is the first bits of a key.
+
+    seal() writes down which shards there are once all have been written: another shard is empty,
+    and one that is on the list but gone raises an error. With checks, a field `check` holds 64
+    more bits of each key. At most MAPS files are mapped at a time.
+    """
 
     def __init__(self, folder: str, prefix: str, bits: int, fields: dict[str, type]):
-        self.folder, self.prefix, self.bits, self.fields, self.maps = folder, prefix, bits, fields, {}
+        self.folder, self.prefix, self.bits, self.fields, self.maps, self.there = folder, prefix, bits, fields, OrderedDict(), None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"maps": {}}
+        return self.__dict__ | {"maps": OrderedDict(), "there": None}
+
+    def seal(self, shards: list[int]) -> None:
+        write(self.folder, self.prefix, shards=np.unique(np.array(shards, np.int64)))
 
     def array(self, shard: int, field: str, kind) -> np.ndarray:
-        if (shard, field) not in self.maps:
+        if self.there is None:
+            self.there = np.fromfile(f"{self.folder}/{self.prefix}-shards", np.int64)
+        at = int(np.searchsorted(self.there, shard))
+        if at == len(self.there) or self.there[at] != shard:
+            return np.zeros(0, kind)
+        found = self.maps.get((shard, field))
+        if found is None:
             path = f"{self.folder}/{self.prefix}-{shard}-{field}"
-            self.maps[shard, field] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
-        return self.maps[shard, field]
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+            found = self.maps[shard, field] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+            if len(self.maps) > MAPS:
+                self.maps.popitem(last=False)
+        else:
+            self.maps.move_to_end((shard, field))
+        return found
+
+    def find(self, keys: np.ndarray, checks: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
         """Which keys there are, and their fields (0 where there is none); keys in any order."""
         order = np.argsort(keys)
         found, out = np.zeros(len(keys), bool), [np.zeros(len(keys), kind) for kind in self.fields.values()]
@@ -67,6 +90,15 @@ class Files:
                 mine = order[a:b]
                 at = np.minimum(np.searchsorted(held, keys[mine]), len(held) - 1)
                 hit = held[at] == keys[mine]
+                if checks is not None:
+                    sums, want = self.array(int(shard[a]), "check", np.uint64), checks[mine]
+                    while True:  # keys that are equal by chance lie side by side
+                        off = np.flatnonzero(hit & (sums[at] != want))
+                        if not len(off):
+                            break
+                        after = np.minimum(at[off] + 1, len(held) - 1)
+                        hit[off] = (after > at[off]) & (held[after] == keys[mine][off])
+                        at[off] = after
                 found[mine[hit]] = True
                 for x, (name, kind) in zip(out, self.fields.items(), strict=True):
                     x[mine[hit]] = self.array(int(shard[a]), name, kind)[at[hit]]

@@ -175,14 +175,15 @@ def train(docs: DataFrame, text_col: str = "text", grid: int | None = None) -> M
             where = (keys >> np.uint64(64 - grid - WORD_BITS)).astype(np.int64)
             width = np.uint32 if max(x.max() for x in sums) < 2**32 else np.uint64
             rows += [(int(where[a]), role, keys[a:b].tobytes(), np.stack([x[a:b] for x in sums]).astype(width).tobytes()) for a, b in cuts(where)]
-        rows.append((shard % (1 << grid + WORD_BITS), 2, b"", np.array([(c == k).sum() for k in (1, 2, 3, 4)] + [len(c)], np.int64).tobytes()))
+        rows.append((shard % (1 << grid + WORD_BITS), 2, np.array([shard]).tobytes(), np.array([(c == k).sum() for k in (1, 2, 3, 4)] + [len(c)], np.int64).tobytes()))
         return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _WORDS, strict=True)], schema=_WORDS)
 
     def finish(data: pa.Table) -> pa.Table:
-        shard, kept, stats = data.column("shard")[0].as_py(), {0: [], 1: []}, np.zeros(5, np.int64)
+        shard, kept, stats, of = data.column("shard")[0].as_py(), {0: [], 1: []}, np.zeros(5, np.int64), []
         for role, key, values in zip(data.column("role").to_pylist(), data.column("key"), data.column("values"), strict=True):
             if role == 2:
                 stats += np.frombuffer(values.as_py(), np.int64)
+                of += np.frombuffer(key.as_py(), np.int64).tolist()
                 continue
             k, n = np.frombuffer(key.as_py(), np.uint64), 4 if role else 2
             x = values.as_py()
@@ -202,11 +203,14 @@ def train(docs: DataFrame, text_col: str = "text", grid: int | None = None) -> M
         write(folder, f"word-{shard}", key=keys, **dict(zip(("c", "cc", "ctx", "n1", "n2", "n3"), columns, strict=True)))
         cc = columns[1]
         found = [*stats.tolist(), *(int((cc == k).sum()) for k in (1, 2, 3, 4)), int((cc >= 3).sum()), int(columns[0].sum()), int((cc > 0).sum())]
-        return pa.table({"x": pa.array([found], pa.list_(pa.int64()))})
+        return pa.table({"shard": [shard], "pairs": pa.array([sorted(of)], pa.list_(pa.int64())), "x": pa.array([found], pa.list_(pa.int64()))})
 
+    model = Model(folder, grid, 0, 0, 0, {}, 0.0)
     pairs = texts.mapInArrow(count, "shard int, v binary, n binary, w binary, c binary")
     merged = pairs.groupBy("shard").applyInArrow(merge, "shard int, role int, key binary, values binary")
-    totals = merged.groupBy("shard").applyInArrow(finish, "x array<long>").collect()
+    totals = merged.groupBy("shard").applyInArrow(finish, "shard long, pairs array<long>, x array<long>").collect()
+    model.by_word.seal([r.shard for r in totals])
+    model.by_pair.seal([x for r in totals for x in r.pairs])
     n = np.array([r.x for r in totals], np.int64).sum(0).tolist() if totals else [0] * 12
     d1 = discounts(n[5:9])
     unseen = float(d1[1] * n[5] + d1[2] * n[6] + d1[3] * n[9]) / n[4] if n[4] else 1.0

@@ -26,14 +26,15 @@ from .words import P, chunks, mixed, powers
 LENGTH, K, SIDE = 50, 24, 13
 #: Anchors that a map task folds at once; bytes of text for each shard of the files, about.
 FOLD, SHARD_BYTES = 2 << 20, 24 << 20
-#: Segments in a shard whose transform is built before shards are merged; symbols in one merge.
-BLOCK, SYMBOLS = 1 << 15, 1 << 21
-#: An anchor in more segments than this has its strings folded by hash, so no group of segments grows beyond it.
-HOT = 512
+#: Shards of documents whose transforms are merged, by a hash of the id; symbols in one merge.
+PARTS, SYMBOLS = 16, 1 << 21
+#: An anchor in more different segments than this has its strings folded one by one, so that no group of segments outgrows a task.
+HOT = 1 << 16
 #: Bytes of text whose windows are hashed at once.
 CHUNK = 1 << 20
 
 _forward = _back = np.zeros(0, np.uint64)
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 class Rolling:
@@ -44,30 +45,38 @@ class Rolling:
         if len(_forward) <= len(data):
             n = max(len(data) + 1, CHUNK + 1)
             _forward, _back = powers(P, n), powers(pow(P, -1, 1 << 64), n)
-        self.total = np.zeros(len(data) + 1, np.uint64)
+        self.total, self.data, self.second = np.zeros(len(data) + 1, np.uint64), data, None
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _forward[: len(data)], out=self.total[1:])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mixed((self.total[b] - self.total[a]) * _back[a])
 
+    def check(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """64 more bits of a slice, from other numbers for the bytes."""
+        if self.second is None:
+            self.second = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(_BYTE[self.data] * _forward[: len(self.data)], out=self.second[1:])
+        return mixed((self.second[b] - self.second[a]) * _back[a])
+
 
 @dataclass
 class Segments:
-    """Of a chunk of texts, in order: anchor hash, hash of anchor and bytes, row, first and last window, anchor position."""
+    """Of a chunk of texts, in order: anchor hash, hash of anchor and bytes and more bits of it, row, first and last window, anchor position."""
 
     anchor: np.ndarray
     key: np.ndarray
+    check: np.ndarray
     row: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
     at: np.ndarray
     rolling: Rolling
 
-    def windows(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All windows of the segments k: their segment, place and hash."""
+    def windows(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All windows of the segments k: their segment, place, hash and more bits of it."""
         n = self.hi[k] - self.lo[k] + 1
         place = np.repeat(self.lo[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(k, n), place, self.rolling.of(place, place + LENGTH)
+        return np.repeat(k, n), place, self.rolling.of(place, place + LENGTH), self.rolling.check(place, place + LENGTH)
 
 
 def segments(data: np.ndarray, bounds: np.ndarray) -> Segments:
@@ -75,7 +84,7 @@ def segments(data: np.ndarray, bounds: np.ndarray) -> Segments:
     w, n, rolling = LENGTH - K + 1, len(data), Rolling(data)
     if n < LENGTH:
         none, zero = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return Segments(none, none, zero, zero, zero, zero, rolling)
+        return Segments(none, none, none, zero, zero, zero, zero, rolling)
     g = mixed((rolling.total[K:] - rolling.total[:-K]) * _back[: n - K + 1])
     place = np.uint64(n.bit_length())
     least = g >> place << place | np.arange(len(g), dtype=np.uint64)  # of equal hashes the first position
@@ -92,8 +101,9 @@ def segments(data: np.ndarray, bounds: np.ndarray) -> Segments:
     start = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (p[1:] != p[:-1] + 1)]) if len(p) else np.zeros(0, np.int64)
     lo, hi, at, row = p[start], p[np.r_[start[1:], len(p)] - 1] if len(p) else p, at[start], row[start]
     anchor = g[at]
-    inside = rolling.of(lo, hi + LENGTH) + mixed(((at - lo) << 8 | (hi - lo)).astype(np.uint64))
-    return Segments(anchor, mixed(inside ^ anchor), row, lo, hi, at, rolling)
+    shape = mixed(((at - lo) << 8 | (hi - lo)).astype(np.uint64))
+    inside = rolling.of(lo, hi + LENGTH) + shape
+    return Segments(anchor, mixed(inside ^ anchor), rolling.check(lo, hi + LENGTH) ^ shape, row, lo, hi, at, rolling)
 
 
 def pieces(data: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -115,7 +125,9 @@ class Sides:
 
     of: np.ndarray  # index into the segments
     group: np.ndarray
+    more: np.ndarray  # more bits of the group
     key: np.ndarray
+    check: np.ndarray
     first: np.ndarray  # number of the first window within the segment
     lo: np.ndarray
     hi: np.ndarray
@@ -129,10 +141,11 @@ def sides(s: Segments, k: np.ndarray, bits: int) -> Sides:
     first = np.r_[np.zeros(left.sum(), np.int64), np.maximum(0, off - SIDE + 1)[right]]
     last = np.r_[np.minimum(n, off - SIDE)[left], n[right]]
     block = np.r_[(s.at[k] - SIDE)[left], s.at[k][right]]
-    group = mixed(s.rolling.of(block, block + SIDE + K) + np.r_[np.zeros(left.sum(), np.uint64), np.ones(right.sum(), np.uint64)])
+    side = np.r_[np.zeros(left.sum(), np.uint64), np.ones(right.sum(), np.uint64)]
+    group, more = mixed(s.rolling.of(block, block + SIDE + K) + side), s.rolling.check(block, block + SIDE + K) + side
     top = np.uint64(bits)
     key = group >> (np.uint64(64) - top) << (np.uint64(64) - top) | mixed(s.key[of] ^ group) >> top
-    return Sides(of, group, key, first, s.lo[of] + first, s.lo[of] + last, block)
+    return Sides(of, group, more, key, s.check[of] + side, first, s.lo[of] + first, s.lo[of] + last, block)
 
 
 def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,38 +198,41 @@ def merged(texts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
         parts = [*out, *parts[len(parts) & ~1 :]]
 
 
-def earlier(group: np.ndarray, doc: np.ndarray, windows: np.ndarray, left: np.ndarray, symbols: np.ndarray, block: int = BLOCK) -> np.ndarray:
+def earlier(number: np.ndarray, doc: np.ndarray, windows: np.ndarray, left: np.ndarray, symbols: np.ndarray, parts: int = PARTS) -> np.ndarray:
     """Of each record a mask of its windows that also occur in a record of a smaller doc.
 
-    Records are sorted by group. symbols: their bytes without those that the group shares, one
-    after the other; left: how many stand before these; there are windows + depth - 2 for each.
+    Records are sorted by the number of their group. symbols: their bytes without those that the
+    group shares, one after the other; left: how many stand before these; there are windows +
+    depth - 2 for each. Each shard of documents gets a transform, and these are merged in pairs.
     """
     depth = LENGTH - K - SIDE + 1
-    mask = np.zeros(len(group), np.uint64)
+    mask = np.zeros(len(number), np.uint64)
     size = windows + depth - 2
     ends = np.cumsum(size)
-    number = np.cumsum(np.r_[0, group[1:] != group[:-1]]) if len(group) else group
+    shard = (mixed(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.uint16)
     i = 0
-    while i < len(group):
+    while i < len(number):
         # whole groups: at most SYMBOLS symbols, unless one has more, and few enough numbers for 16 bits
         j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SYMBOLS, "right"))
         j = min(max(j, i + 1), int(np.searchsorted(number, number[i] + 65000)))
-        j = int(np.searchsorted(number, number[j], "left")) if j < len(group) else j
+        j = int(np.searchsorted(number, number[j], "left")) if j < len(number) else j
         if j <= i:
             j = int(np.searchsorted(number, number[i], "right"))
-        n = size[i:j] + 2
+        of = i + np.argsort(shard[i:j], kind="stable")  # records by shard of documents
+        n = size[of] + 2
         start = np.cumsum(n) - n
         text = np.zeros(int(n.sum()), np.uint16)
         own = np.ones(len(text), bool)
-        own[start + left[i:j]] = own[start + n - 1] = False
-        text[own] = symbols[ends[i] - size[i] : ends[j - 1]].astype(np.uint16) + 1
-        text[start + left[i:j]] = 257 + number[i:j] - number[i]
-        split = [int(start[x]) for x in range(0, j - i, block)] + [len(text)]
-        order, blocks = merged([text[a:b] for a, b in zip(split, split[1:], strict=False)], depth)
+        own[start + left[of]] = own[start + n - 1] = False
+        take = np.repeat(ends[of] - size[of] - (np.cumsum(size[of]) - size[of]), size[of]) + np.arange(size[of].sum())
+        text[own] = symbols[take].astype(np.uint16) + 1
+        text[start + left[of]] = 257 + number[of] - number[i]
+        cut = [*start[runs(shard[of])].tolist(), len(text)]
+        order, blocks = merged([text[a:b] for a, b in zip(cut, cut[1:], strict=False)], depth)
         record = np.searchsorted(start, order, "right") - 1
-        window = order - start[record]
-        good = np.flatnonzero(window < windows[i:j][record])
-        record, window, blocks = record[good] + i, window[good], blocks[good]
+        window, record = order - start[record], of[record]
+        good = np.flatnonzero(window < windows[record])
+        record, window, blocks = record[good], window[good], blocks[good]
         at = runs(blocks)
         first = np.repeat(np.minimum.reduceat(doc[record], at), np.diff(np.r_[at, len(record)])) if len(at) else doc[:0]
         hit = first < doc[record]
@@ -225,12 +241,12 @@ def earlier(group: np.ndarray, doc: np.ndarray, windows: np.ndarray, left: np.nd
     return mask
 
 
-_BLOBS = pa.schema([("shard", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary()), ("f", pa.binary())])
-_NAMES = "shard int, a binary, b binary, c binary, d binary, e binary, f binary"
+_BLOBS = pa.schema([("shard", pa.int32()), *((x, pa.binary()) for x in "abcdefg")])
+_NAMES = "shard int, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 
 
 def _batch(rows: list[tuple[int, tuple[bytes, ...]]]) -> pa.RecordBatch:
-    full = [(shard, *blobs, *[b""] * (6 - len(blobs))) for shard, blobs in rows]
+    full = [(shard, *blobs, *[b""] * (7 - len(blobs))) for shard, blobs in rows]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in full], t.type) for i, t in enumerate(_BLOBS)], schema=_BLOBS)
 
 
@@ -251,7 +267,7 @@ class Found:
 
     def parts(self, s: Segments, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Segments that occur in a smaller id; first occurrences whose anchor has some other segments, and has many."""
-        known, (first,) = self.segments.find(s.key)
+        known, (first,) = self.segments.find(s.key, s.check)
         whole = known & (ids[s.row] > first)
         mine = np.flatnonzero(known & (ids[s.row] == first))
         _, (n,) = self.several.find(s.anchor[mine])
@@ -263,30 +279,36 @@ class Found:
         a, b = [s.lo[whole]], [s.hi[whole] + 1]
         if len(some):
             records = sides(s, some, self.bits)
-            hit, (mask,) = self.windows.find(records.key)
+            hit, (mask,) = self.windows.find(records.key, records.check)
             for j in range(int((records.hi - records.lo).max(initial=-1)) + 1):
                 on = hit & (mask >> np.uint64(j) & np.uint64(1) > 0)
                 a.append(records.lo[on] + j), b.append(records.lo[on] + j + 1)
         if len(many):
-            of, place, key = s.windows(many)
-            hit, (first,) = self.strings.find(key)
+            of, place, key, check = s.windows(many)
+            hit, (first,) = self.strings.find(key, check)
             place = place[hit & (first < ids[s.row[of]])]
             a.append(place), b.append(place + 1)
         return np.concatenate(a), np.concatenate(b)
 
 
-def _least(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Of each distinct key, in order, where its smallest doc stands."""
-    order = np.lexsort((doc, key))
-    return order[runs(key[order])]
+def _changes(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where runs of rows with equal entries start."""
+    return np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in sorted_by], axis=0)]) if len(sorted_by[0]) else np.zeros(0, np.int64)
+
 
+def _least(key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of each distinct key and check, in order, where its smallest doc stands."""
+    order = np.lexsort((doc, check, key))
+    return order[_changes(key[order], check[order])]
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, block: int = BLOCK, hot: int = HOT) -> Found:
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, parts: int = PARTS, hot: int = HOT) -> Found:
     """Three passes over the texts: shared anchors, their distinct segments, strings of anchors with several segments.
 
     Anchors, segments and strings are dealt by their hashes after each map task has folded its own.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     if bits is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -303,9 +325,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
                 for _, part, within in pieces(data, bounds, CHUNK):
                     yield ids[i:j], part, segments(part, within)
 
-    def folded(parts: Iterator[tuple[np.ndarray, ...]], fold) -> Iterator[pa.RecordBatch]:
+    def folded(each_part: Iterator[tuple[np.ndarray, ...]], fold) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for part in parts:
+        for part in each_part:
             held.append(part)
             n += len(part[0])
             if n >= FOLD:
@@ -332,26 +354,27 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
         one, two = np.sort(joined(data.column("a"), np.uint64)), joined(data.column("b"), np.uint64)
         keys = np.union1d(one[1:][one[1:] == one[:-1]], two)
         write(folder, f"anchor-{shard_in(data)}", key=keys)
-        return pa.table({"n": [len(keys)]})
+        return pa.table({"shard": [shard_in(data)], "made": pa.array([[]], pa.list_(pa.int64()))})
 
     def count_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def fold(key: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> list:
-            at = _least(key, doc)
-            return by_shard(bits, key[at], anchor[at], doc[at])
+        def fold(key: np.ndarray, check: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> list:
+            at = _least(key, check, doc)
+            return by_shard(bits, key[at], check[at], anchor[at], doc[at])
 
-        def parts():
+        def shared_ones():
             for ids, _, s in each(batches):
                 on, _ = shared.find(s.anchor)
-                yield s.key[on], s.anchor[on], ids[s.row[on]]
+                yield s.key[on], s.check[on], s.anchor[on], ids[s.row[on]]
 
-        yield from folded(parts(), fold)
+        yield from folded(shared_ones(), fold)
 
     def merge_segments(data: pa.Table) -> pa.Table:
-        key, anchor, doc = (joined(data.column(c), kind) for c, kind in (("a", np.uint64), ("b", np.uint64), ("c", np.int64)))
-        at = _least(key, doc)
-        write(folder, f"segment-{shard_in(data)}", key=key[at], first=doc[at])
+        key, check, anchor, doc = (joined(data.column(c), kind) for c, kind in (("a", np.uint64), ("b", np.uint64), ("c", np.uint64), ("d", np.int64)))
+        at = _least(key, check, doc)
+        write(folder, f"segment-{shard_in(data)}", key=key[at], check=check[at], first=doc[at])
         names, n = np.unique(anchor[at], return_counts=True)
-        return pa.Table.from_batches([_batch(by_shard(bits, names, n.astype(np.uint32)))])
+        done = np.array([shard_in(data)]).tobytes()
+        return pa.Table.from_batches([_batch([(shard, (*blobs, done)) for shard, blobs in by_shard(bits, names, n.astype(np.uint32))])])
 
     def merge_several(data: pa.Table) -> pa.Table:
         anchor, n = joined(data.column("a"), np.uint64), joined(data.column("b"), np.uint32).astype(np.int64)
@@ -360,27 +383,28 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
         total = np.add.reduceat(n[order], at) if len(at) else n
         keep = total > 1
         write(folder, f"several-{shard_in(data)}", key=anchor[order][at][keep], n=np.minimum(total[keep], 2**32 - 1).astype(np.uint32))
-        return pa.table({"n": [int(keep.sum())]})
+        return pa.table({"shard": [shard_in(data)], "made": [sorted(set(joined(data.column("c"), np.int64).tolist()))]})
 
     def count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
 
         def strings() -> pa.RecordBatch:
-            key, doc = map(np.concatenate, zip(*held, strict=True))
-            at = _least(key, doc)
-            return _batch([(shard + (1 << bits), blobs) for shard, blobs in by_shard(bits, key[at], doc[at])])
+            key, check, doc = map(np.concatenate, zip(*held, strict=True))
+            at = _least(key, check, doc)
+            return _batch([(shard + (1 << bits), blobs) for shard, blobs in by_shard(bits, key[at], check[at], doc[at])])
 
         for ids, data, s in each(batches):
             _, some, many = found.parts(s, ids)
             if len(many):
-                of, _, key = s.windows(many)
-                held.append((key, ids[s.row[of]]))
+                of, _, key, check = s.windows(many)
+                held.append((key, check, ids[s.row[of]]))
                 n_held += len(key)
                 if n_held >= FOLD:
                     yield strings()
                     held, n_held = [], 0
             r = sides(s, some, bits)
-            _, pick = np.unique(r.key, return_index=True)
+            pick = np.lexsort((r.check, r.key))
+            pick = pick[_changes(r.key[pick], r.check[pick])]
             size = (r.block - r.lo)[pick], (r.hi + LENGTH - r.block - K - SIDE)[pick]
             out = []
             shard = (r.group[pick] >> np.uint64(64 - bits)).astype(np.int64)
@@ -393,82 +417,94 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
                 begin = np.c_[r.lo[k], r.block[k] + K + SIDE].ravel()
                 byte = data[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 wide = np.c_[r.hi[k] - r.lo[k] + 1, before].astype(np.uint8)
-                out.append((int(shard[mine[0]]), (r.group[k].tobytes(), r.key[k].tobytes(), ids[s.row[r.of[k]]].tobytes(), wide.tobytes(), byte.tobytes())))
+                out.append((int(shard[mine[0]]), (r.group[k].tobytes(), r.more[k].tobytes(), r.key[k].tobytes(), r.check[k].tobytes(), ids[s.row[r.of[k]]].tobytes(), wide.tobytes(), byte.tobytes())))
             if out:
                 yield _batch(out)
         if held:
             yield strings()
 
     def merge_windows(data: pa.Table) -> pa.Table:
+        done = pa.table({"shard": [shard_in(data)], "made": pa.array([[]], pa.list_(pa.int64()))})
         if shard_in(data) >= 1 << bits:
-            key, doc = joined(data.column("a"), np.uint64), joined(data.column("b"), np.int64)
-            at = _least(key, doc)
-            write(folder, f"string-{shard_in(data) - (1 << bits)}", key=key[at], first=doc[at])
-            return pa.table({"n": [len(at)]})
-        group, key, doc = (joined(data.column(c), kind) for c, kind in (("a", np.uint64), ("b", np.uint64), ("c", np.int64)))
-        n, left = joined(data.column("d"), np.uint8).astype(np.int64).reshape(-1, 2).T
-        byte = joined(data.column("e"), np.uint8)
+            key, check, doc = joined(data.column("a"), np.uint64), joined(data.column("b"), np.uint64), joined(data.column("c"), np.int64)
+            at = _least(key, check, doc)
+            write(folder, f"string-{shard_in(data) - (1 << bits)}", key=key[at], check=check[at], first=doc[at])
+            return done
+        group, more, key, check, doc = (joined(data.column(c), kind) for c, kind in zip("abcde", (np.uint64, np.uint64, np.uint64, np.uint64, np.int64), strict=True))
+        n, left = joined(data.column("f"), np.uint8).astype(np.int64).reshape(-1, 2).T
+        byte = joined(data.column("g"), np.uint8)
         size = n + LENGTH - K - SIDE - 1
         begin = np.cumsum(size) - size
-        order = np.lexsort((key, group))
-        order = order[runs(key[order])]  # a key lies in one group
-        g = group[order]
-        count = np.diff(np.r_[runs(g), len(g)])
+        order = np.lexsort((check, key, more, group))
+        order = order[_changes(group[order], more[order], key[order], check[order])]
+        count = np.diff(np.r_[_changes(group[order], more[order]), len(order)])
         order = order[np.repeat(count > 1, count)]
+        number = np.zeros(len(order), np.int64)
+        number[_changes(group[order], more[order])[1:]] = 1
+        number = np.cumsum(number)
         take = np.repeat(begin[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(size[order].sum())
-        mask = earlier(group[order], doc[order], n[order], left[order], byte[take], block)
+        mask = earlier(number, doc[order], n[order], left[order], byte[take], parts)
         keep = np.flatnonzero(mask)
-        at = keep[np.argsort(key[order][keep])]
-        write(folder, f"window-{shard_in(data)}", key=key[order][at], mask=mask[at])
-        return pa.table({"n": [len(order)]})
+        at = keep[np.lexsort((check[order][keep], key[order][keep]))]
+        write(folder, f"window-{shard_in(data)}", key=key[order][at], check=check[order][at], mask=mask[at])
+        return done
 
-    for count, merges in ((count_anchors, (merge_anchors,)), (count_segments, (merge_segments, merge_several)), (count_windows, (merge_windows,))):
+    def run(count, *merges) -> tuple[list[int], list[int]]:
+        """The shards that the last merge wrote, and those before it."""
         job = rows.mapInArrow(count, _NAMES)
         for merge in merges[:-1]:
             job = job.groupBy("shard").applyInArrow(merge, _NAMES)
-        job.groupBy("shard").applyInArrow(merges[-1], "n long").agg(F.sum("n")).collect()
+        made = job.groupBy("shard").applyInArrow(merges[-1], "shard long, made array<long>").collect()
+        return [r.shard for r in made], [x for r in made for x in r.made]
+
+    shared.seal(run(count_anchors, merge_anchors)[0])
+    several, first = run(count_segments, merge_segments, merge_several)
+    found.segments.seal(first)
+    found.several.seal(several)
+    last, _ = run(count_windows, merge_windows)
+    found.windows.seal([x for x in last if x < 1 << bits])
+    found.strings.seal([x - (1 << bits) for x in last if x >= 1 << bits])
     return found
 
 
-def suffix_dedup(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", found: Found | None = None, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", found: Found | None = None, parts: int = PARTS, hot: int = HOT) -> DataFrame:
     """keep's columns of every row, _n_bytes, _starts and _ends (bytes of the removed runs), _kept (binary).
 
     Null texts are empty; matches do not cross texts. Ids are compared as long integers; a null id
     is smaller than any other. Rows with equal ids remove nothing from each other. What is removed
-    is judged on the input. Equal segments are told by 64-bit hashes of their anchors and bytes.
-    Texts below LENGTH bytes stay. An empty table gives no row. keep may hold columns of any name.
+    is judged on the input. Strings and segments are told apart by 128 bits of hashes, so at 10^13
+    of them some two are confused with a chance of 10^-12. Texts below LENGTH bytes stay; a text of
+    any length is read whole. An empty table gives no row. keep may hold columns of any name; one
+    named like a result gives way to it.
     """
-    found = found or find(docs, id_col, text_col, block=block, hot=hot)
+    found = found or find(docs, id_col, text_col, parts=parts, hot=hot)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array, column: pa.Array) -> pa.Array:
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-        for batch in batches:
-            names = batch.schema.names
-            ids, kept_rows = _ids(batch.column(names.index("_id"))), batch.column(names.index("_row"))
-            for i, j, data, bounds in chunks(text_in(batch, text_col), CHUNK):
-                step = np.zeros(len(data) + 1, np.int32)
-                for offset, part, within in pieces(data, bounds, CHUNK):
-                    a, b = found.windows_of(segments(part, within), ids[i:j])
-                    np.add.at(step, a + offset, 1)
-                    np.add.at(step, b + (offset + LENGTH - 1), -1)
-                gone = np.cumsum(step[:-1], dtype=np.int32) > 0
-                edge = np.zeros(len(data) + 1, bool)
-                edge[bounds] = True
-                start = np.flatnonzero(gone & (np.r_[True, ~gone[:-1]] | edge[:-1]))
-                end = np.flatnonzero(gone & (np.r_[~gone[1:], True] | edge[1:])) + 1
-                at, rows = np.searchsorted(start, bounds), []
-                for x in range(j - i):
-                    lo, hi = int(bounds[x]), int(bounds[x + 1])
-                    mine = slice(int(at[x]), int(at[x + 1]))
-                    kept = data[lo:hi] if at[x] == at[x + 1] else data[lo:hi][~gone[lo:hi]]
-                    rows.append((hi - lo, start[mine] - lo, end[mine] - lo, kept.tobytes()))
-                columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([kept_rows.slice(i, j - i), *columns], ["_row", "_n_bytes", "_starts", "_ends", "_kept"])
-
-    rows = carried(docs, keep, text_col, F.col(id_col).cast("long").alias("_id"))
-    longs = F.array().cast("array<long>")
-    schema = rows.select("_row", F.lit(0).cast("long").alias("_n_bytes"), longs.alias("_starts"), longs.alias("_ends"), F.lit(b"").alias("_kept")).schema
-    return rows.mapInArrow(run, schema).select(*[F.col("_row").getField(c).alias(c) for c in keep], "_n_bytes", "_starts", "_ends", "_kept")
+        ids, rows = _ids(column), []
+        for i, j, data, bounds in chunks(texts, CHUNK):
+            step = np.zeros(len(data) + 1, np.int32)
+            for offset, part, within in pieces(data, bounds, CHUNK):
+                a, b = found.windows_of(segments(part, within), ids[i:j])
+                np.add.at(step, a + offset, 1)
+                np.add.at(step, b + (offset + LENGTH - 1), -1)
+            gone = np.cumsum(step[:-1], dtype=np.int32) > 0
+            edge = np.zeros(len(data) + 1, bool)
+            edge[bounds] = True
+            start = np.flatnonzero(gone & (np.r_[True, ~gone[:-1]] | edge[:-1]))
+            end = np.flatnonzero(gone & (np.r_[~gone[1:], True] | edge[1:])) + 1
+            at = np.searchsorted(start, bounds)
+            for x in range(j - i):
+                lo, hi = int(bounds[x]), int(bounds[x + 1])
+                mine = slice(int(at[x]), int(at[x + 1]))
+                kept = data[lo:hi] if at[x] == at[x + 1] else data[lo:hi][~gone[lo:hi]]
+                rows.append((hi - lo, start[mine] - lo, end[mine] - lo, kept.tobytes()))
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else ([],) * 4, kinds, strict=True)]
+        return pa.StructArray.from_arrays(columns, ["n_bytes", "starts", "ends", "kept"])
+
+    kind = "n_bytes long, starts array<long>, ends array<long>, kept binary"
+    x = mapped_pairs(docs.sparkSession, run, kind, F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long"))
+    return beside(docs, keep, x, {"n_bytes": "_n_bytes", "starts": "_starts", "ends": "_ends", "kept": "_kept"})
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
+import os
 import random
 from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pytest
 
 from quirelake.llm import suffix_dedup as X
 
@@ -70,7 +72,8 @@ def test_against_brute_force(spark):
 
 def test_merged_blocks(spark):
     rows = made(4, 120)
-    assert run(spark, rows, block=3) == brute(rows)
+    for parts in (1, 3):
+        assert run(spark, rows, parts=parts) == brute(rows)
 
 
 def test_anchors_with_many_segments(spark):
@@ -111,6 +114,35 @@ def test_interleave_refines_to_the_sorted_union():
     assert Counter(one.tolist()) == Counter(texts[0].tolist())
 
 
+def test_transforms_are_merged():
+    """Records of several shards of documents meet in a merge of more than one transform."""
+    seen, merged = [], X.merged
+    r = np.random.default_rng(5)
+    n = 200
+    windows = r.integers(2, 12, n)
+    size = windows + X.LENGTH - X.K - X.SIDE - 1
+    symbols = r.integers(97, 99, size.sum()).astype(np.uint8)
+    number, doc, left = np.sort(r.integers(0, 5, n)), r.integers(0, 60, n), np.minimum(r.integers(0, 12, n), size)
+    try:
+        X.merged = lambda texts, depth: seen.append(len(texts)) or merged(texts, depth)
+        many = X.earlier(number, doc, windows, left, symbols, 16)
+        one = X.earlier(number, doc, windows, left, symbols, 1)
+    finally:
+        X.merged = merged
+    assert seen[0] > 8 and seen[1] == 1 and (many == one).all() and many.any()
+
+
+def test_a_lost_file_is_an_error(spark):
+    rows = made(7, 40)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = X.find(frame)
+    for name in os.listdir(found.segments.folder):
+        if name.startswith("segment-") and name.endswith("-key"):
+            os.remove(f"{found.segments.folder}/{name}")
+    with pytest.raises(Exception, match="FileNotFound"):
+        X.suffix_dedup(frame, ["doc_id"], found=found).collect()
+
+
 def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(250).collect()]
     assert run(spark, rows) == brute(rows)
