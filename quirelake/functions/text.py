@@ -31,11 +31,12 @@ ENTITIES: Rules = [
     (r"(?i)&amp;", "&"),
     (r"&[a-zA-Z]+;|&#[0-9]+;", ""),
 ]
+# How markup becomes a line of text, what is escaped, what a slug keeps.
 COLLAPSE: Rules = [(r"<[^>]+>", " "), *ENTITIES, (r"[\x{AD}\x{200B}-\x{200F}\x{FEFF}]", ""), (SPACE + "+", " "), (r"^ +| +$", "")]
 ESCAPE: Rules = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")]
 #: Slug of a heading: without tags, of letters, digits, _, - and spaces, which become -.
 SLUG: Rules = [(r"<[^>]*>", ""), (r"[^\p{L}\p{N}\s_-]", ""), (r"^\s+|\s+$", ""), (r"\s+", "-")]
-#: What a book wraps around its markup.
+# What a book wraps around its markup.
 SCAFFOLD: Rules = [(r"(?is)<head\b.*?</head\s*>", ""), (r"(?is)<\?xml[^>]*>|<!DOCTYPE[^>]*>|</?html[^>]*>|</?body[^>]*>", "")]
 
 
@@ -75,6 +76,7 @@ def prefixed(html: Column, chapter: Column) -> Column:
     """ids, anchor names and in-page links carry the chapter, so chapters can be joined on one page."""
     mark = F.concat(F.lit("ch"), chapter.cast("string"), F.lit("--"))
     out = html
+    # Where ids and links stand
     for pattern in (r"([\s\"']id=\")([^\"]+\")", r"([\s\"']id=')([^']+')", r"(href=\"#)([^\"]+\")", r"(href='#)([^']+')"):
         out = F.regexp_replace(out, F.lit("(?i)" + pattern), F.concat(F.lit("$1"), mark, F.lit("$2")))
     named = F.regexp_replace(out, F.lit(r"(?i)(<a\s[^>]*\bname\s*=\s*[\"'])([^\"']+[\"'])"), F.concat(F.lit("$1"), mark, F.lit("$2")))
@@ -174,14 +176,14 @@ def card(title: Column, stem: Column, author: Column, format_name: Column, html:
     ]
 
 
-def natural_key(name: Column, width: int = 40) -> Column:
-    """Sorts as people read: runs of digits as numbers, letters without regard to case.
+def natural_key(name: Column) -> Column:
+    """Sorts as people read: runs of digits as numbers of any size, letters without regard to case.
 
-    Runs are padded to width, so longer ones sort by their first digits; ties break on the name.
+    A run has its number of digits in front, so a longer one is greater; ties break on the name.
     """
     bare = F.regexp_replace(F.lower(name), r"(^|[^0-9])0+(?=[0-9])", "$1")
     runs = F.regexp_extract_all(bare, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, width, "0")).otherwise(x)), "")
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(x).cast("string"), 10, "0"), x)).otherwise(x)), "")
 
 
 # Markdown
@@ -206,14 +208,17 @@ def lines(text: Column) -> Column:
 
 def _fences(text: Column) -> Column:
     """Each line with whether it opens or closes a fence and whether it lies in one."""
-    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<struct<line:string,fence:boolean,inside:boolean>>").alias("out"))
+    parts = F.split(F.concat(F.lit("\n"), text), r"(?md)(?=^[^\S\n]*(?:```|~~~))", -1)  # every second one lies in a fence
+    last = F.size(parts) - 1
 
-    def step(s: Column, x: Column) -> Column:
-        fence = x.rlike(r"^\s*(```|~~~)")
-        row = F.struct(x.alias("line"), fence.alias("fence"), (s["open"] | fence).alias("inside"))
-        return F.struct(F.when(fence, ~s["open"]).otherwise(s["open"]).alias("open"), F.concat(s["out"], F.array(row)).alias("out"))
+    def marked(part: Column, k: Column) -> Column:
+        own = F.when(k == 0, F.substring(part, 2, 1 << 30)).otherwise(part)
+        nothing = (k == 0) & (last > 0) & (own == "")
+        own = F.when(k < last, F.regexp_replace(own, r"\n\z", "")).otherwise(own)
+        rows = F.transform(lines(own), lambda x, j: F.struct(x.alias("line"), ((j == 0) & (k > 0)).alias("fence"), ((k % 2 == 1) | ((j == 0) & (k > 0))).alias("inside")))
+        return F.when(nothing, F.slice(rows, 1, 0)).otherwise(rows)
 
-    return F.aggregate(lines(text), start, step, lambda s: s["out"])
+    return F.flatten(F.transform(parts, marked))
 
 
 def without_mdx(text: Column) -> Column:
@@ -229,8 +234,13 @@ def fence_classes(text: Column) -> Column:
     return F.transform(odd, lambda x: F.when(x == "mermaid", "mermaid").when(x.isin("math", "latex", "tex"), "math").otherwise("code"))
 
 
-# Fixed value: spans of formulas.
-MATH = r"\$\$[^$]+\$\$|\\\([^\n]+?\\\)|\\\[[^$]+?\\\]|\$[^\s$](?:[^$\n]*[^\s$])?\$"
+# Environments that hold a formula, and spans of formulas.
+ENVIRONMENTS = [
+    "equation", "align", "alignat", "gather", "multline", "eqnarray", "displaymath", "math", "array", "darray", "dcases", "cases", "rcases",
+    "matrix", "pmatrix", "bmatrix", "Bmatrix", "vmatrix", "Vmatrix", "smallmatrix", "subarray", "aligned", "alignedat", "gathered", "split", "CD",
+]
+MATH = "".join(rf"\\begin\{{{name}\*?\}}[\s\S]*?\\end\{{{name}\*?\}}|" for name in ENVIRONMENTS)
+MATH += r"\$\$[^$]+\$\$|\\\([^\n]+?\\\)|\\\[[^$]+?\\\]|\$[^\s$](?:[^$\n]*[^\s$])?\$"
 
 
 def math_spans(text: Column) -> Column:
@@ -251,14 +261,17 @@ LEVELS = [
     (r"^(chapter|kapitel|глава|раздел)\s+[0-9ivxlc]+[.:)]?\s*\S", 2),
     (r"^(appendix|preface|foreword|prologue|epilogue|introduction|conclusion|afterword|glossary|bibliography|references|notes|index|приложение|предисловие|заключение|примечания)(\s|$)", 2),
 ]
-RUNNING = r"^(references|notes|index|contents|bibliography|оглавление|содержание|примечания)\s*[0-9]*$|^(epilogue|prologue|appendix|glossary)\s+[0-9]+$"
+RUNNING = [
+    r"^(references|notes|index|contents|bibliography|оглавление|содержание|примечания)\s*[0-9]*$",
+    r"^(epilogue|prologue|appendix|glossary)\s+[0-9]+$",
+]
 CONTENTS = ("contents", "table of contents", "document outline", "оглавление", "содержание")
 
 
 def heading_like(label: Column, limit: int) -> Column:
     """Long enough, not a sentence, not an address, not a running head."""
     n = F.length(label)
-    return (n >= 3) & (n <= limit) & ~label.rlike(r"[.,;]$") & ~label.contains("http") & ~label.contains("@") & ~label.contains("://") & ~label.rlike(RUNNING)
+    return (n >= 3) & (n <= limit) & ~label.rlike(r"[.,;]$") & ~label.contains("http") & ~label.contains("@") & ~label.contains("://") & ~label.rlike(RUNNING[0]) & ~label.rlike(RUNNING[1])
 
 
 def guessed_level(label: Column) -> Column:
@@ -352,8 +365,12 @@ def is_noise(path: Column) -> Column:
     return path.startswith("__MACOSX/") | path.startswith(".") | name.startswith("._") | name.startswith("Thumbs.db") | (name == ".DS_Store")
 
 
+# Extensions of pictures.
+PICTURES = ["jpg", "jpeg", "jpe", "png", "gif", "webp", "bmp", "tif", "tiff", "avif", "heic"]
+
+
 def is_picture(path: Column) -> Column:
-    return extension(path).isin(*"jpg jpeg jpe png gif webp bmp tif tiff avif heic".split())
+    return extension(path).isin(*PICTURES)
 
 
 def follows_settings(path: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,25 +72,24 @@ def numbered(entries: DataFrame, book: list[str], name: str, order: list[str]) -
     return entries.withColumn("slug", F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), n.cast("string"))))
 
 
-def spliced(nodes: DataFrame, book: list[str], depth: int = 32) -> DataFrame:
-    """Tree of parent pointers without its untitled nodes: their children go to the next titled node above.
+def spliced(nodes: DataFrame, book: list[str]) -> DataFrame:
+    """Tree of parent pointers without its untitled nodes: their children go to the next titled node above, however far.
 
-    A parent has to come before its child; other pointers make a root. Depth beyond `depth` untitled
-    nodes in a row is an error of the input and makes a root too.
+    A parent has to come before its child; other pointers make a root. The outline of a book is
+    folded in one task, in one pass, since a parent's place is known before its children come.
     """
-    cols = [*book, "idx"]
-    tree = nodes.withColumn("parent_idx", F.when(F.col("parent_idx") < F.col("idx"), F.col("parent_idx")))
-    names = ", ".join(book)
-    on = " AND ".join(f"n.{b} <=> t.{b}" for b in book)
-    tree.createOrReplaceTempView("_spliced_nodes")
-    up = nodes.sparkSession.sql(f"""
-        WITH RECURSIVE up({names}, idx, title, at, hops) MAX RECURSION LEVEL {depth + 2} AS (
-          SELECT {names}, idx, title, parent_idx, 0 FROM _spliced_nodes WHERE title <> ''
-          UNION ALL
-          SELECT {", ".join("t." + b for b in book)}, t.idx, t.title, n.parent_idx, t.hops + 1
-          FROM up t JOIN _spliced_nodes n ON {on} AND n.idx = t.at WHERE n.title = '' AND t.hops < {depth})
-        SELECT {names}, idx, title, max_by(at, hops) AS parent_idx FROM up GROUP BY {names}, idx, title""")
-    titled = tree.where("title <> ''").select(*book, F.col("idx").alias("_p"))
-    keep = [*(up[b].eqNullSafe(titled[b]) for b in book), up["parent_idx"] == titled["_p"]]
-    joined = up.join(titled, keep, "left")
-    return joined.select(*[up[c] for c in cols], up["title"], titled["_p"].alias("parent_idx"))
+    tree = nodes.select(*book, F.col("idx").cast("long"), "title", F.when(F.col("parent_idx") < F.col("idx"), F.col("parent_idx")).cast("long").alias("parent_idx"))
+
+    def fold(data: pa.Table) -> pa.Table:
+        data = data.sort_by("idx")
+        place, kept, up = {}, [], []  # of each node so far, the titled one that its children hang on
+        for i, (idx, title, parent) in enumerate(zip(*(data.column(c).to_pylist() for c in ("idx", "title", "parent_idx")), strict=True)):
+            at = place.get(parent)
+            if title is not None and title != "":
+                kept.append(i), up.append(at)
+                at = idx
+            place[idx] = at
+        data = data.take(pa.array(kept, pa.int64()))
+        return data.set_column(data.schema.names.index("parent_idx"), "parent_idx", pa.array(up, pa.int64()))
+
+    return tree.groupBy(*book).applyInArrow(fold, tree.schema).select(*book, "idx", "title", "parent_idx")

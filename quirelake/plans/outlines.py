@@ -120,7 +120,7 @@ def distinct_first(spark, sf_dir):
     return R.first_by(table(spark, sf_dir, "documents").select("lang", "source", "doc_id", "n_chars"), ["lang", "source"], F.col("doc_id"))
 
 
-@query("natural_order", r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(lower(url), '(^|[^0-9])0+([0-9])', '\1\2', 'g'), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 40, '0') ELSE x END), '') AS sort_key FROM pages""")
+@query("natural_order", r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(lower(url), '(^|[^0-9])0+([0-9])', '\1\2', 'g'), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(length(x)::VARCHAR, 10, '0') || x ELSE x END), '') AS sort_key FROM pages""")
 def natural_order(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.natural_key(F.col("url")).alias("sort_key"))
 
@@ -162,7 +162,7 @@ def guessed_level(spark, sf_dir):
 
 
 def like_sql(label: str, limit: int) -> str:
-    return f"(length({label}) BETWEEN 3 AND {limit} AND NOT regexp_matches({label}, '[.,;]$') AND NOT contains({label}, 'http') AND NOT contains({label}, '@') AND NOT contains({label}, '://') AND NOT regexp_matches({label}, '{T.RUNNING}'))"
+    return f"(length({label}) BETWEEN 3 AND {limit} AND NOT regexp_matches({label}, '[.,;]$') AND NOT contains({label}, 'http') AND NOT contains({label}, '@') AND NOT contains({label}, '://') AND NOT regexp_matches({label}, '{T.RUNNING[0]}') AND NOT regexp_matches({label}, '{T.RUNNING[1]}'))"
 
 
 _LEVEL = f"CASE WHEN NOT {like_sql('label', 80)} THEN NULL " + " ".join(f"WHEN regexp_matches(label, '{pattern}') THEN {level}" for pattern, level in T.LEVELS) + " END"

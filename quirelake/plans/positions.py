@@ -66,7 +66,7 @@ def recent_history(spark, sf_dir):
 ZOOM = [0.5, 0.67, 0.8, 0.9, 1.0, 1.1, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0]
 
 
-@query("zoom_nearest", f"SELECT event_id, (SELECT arg_min(z, abs(value / 50 - z)) FROM (SELECT unnest({ZOOM}::DOUBLE[]) AS z)) AS zoom FROM events WHERE value / 50 <> 0.585")
+@query("zoom_nearest", f"SELECT event_id, (SELECT arg_min(z, abs(value / 50 - z)) FROM (SELECT unnest({ZOOM}::DOUBLE[]) AS z)) AS zoom FROM events")
 def zoom_nearest(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", P.nearest(F.col("value") / 50, ZOOM).alias("zoom"))
 

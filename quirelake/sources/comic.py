@@ -12,10 +12,9 @@ from .images import size
 from .model import Book, ParseError
 
 # Extensions of pages.
-PICTURES = set("jpg jpeg jpe png gif webp bmp tif tiff avif heic".split())
+PICTURES = {"jpg", "jpeg", "jpe", "png", "gif", "webp", "bmp", "tif", "tiff", "avif", "heic"}
 #: Bytes that are read first for a picture's header, and then if those tell nothing.
 HEAD, MORE = 64 << 10, 4 << 20
-WIDTH = 40
 
 
 def kind(content: bytes) -> str:
@@ -39,9 +38,9 @@ def is_noise(path: str) -> bool:
     return path.startswith(("__MACOSX/", ".")) or name.startswith(("._", "Thumbs.db")) or name == ".DS_Store"
 
 
-def natural_key(name: str, width: int = WIDTH) -> tuple[str, int, str]:
+def natural_key(name: str) -> tuple[str, int, str]:
     """Runs of digits as numbers, letters without regard to case; then shorter names, then the name."""
-    return re.sub(r"[0-9]+", lambda m: (m[0].lstrip("0") or "0").rjust(width, "0"), name.lower()), len(name), name
+    return re.sub(r"[0-9]+", lambda m: f"{len(n := m[0].lstrip('0') or '0'):010d}{n}", name.lower()), len(name), name
 
 
 def _entries(content: bytes) -> tuple[list[str], object]:

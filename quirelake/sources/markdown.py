@@ -48,10 +48,12 @@ def inline(text: str) -> str:
 
     text = re.sub(r"(`+)(.+?)\1", lambda m: keep(f"<code>{escape(m[2].strip())}</code>"), text)
     text = re.sub(r"\$\$[^$]+\$\$|\$[^\s$](?:[^$\n]*[^\s$])?\$|\\\([^\n]+?\\\)", lambda m: keep(f'<span class="math">{escape(m[0])}</span>'), text)
+    text = re.sub(r"<((?:https?|mailto):[^\s<>]*)>", lambda m: keep(f'<a href="{escape(m[1])}">{escape(m[1].removeprefix("mailto:"))}</a>'), text)
     text = re.sub(r"</?[a-zA-Z][^<>]*>", lambda m: keep(m[0]), text)
     text = escape(text, quote=False)
     text = re.sub(r"!\[([^\]]*)\]\(([^)\s]+)[^)]*\)", lambda m: keep(f'<img src="{escape(m[2])}" alt="{m[1]}">'), text)
     text = re.sub(r"\[([^\]]+)\]\(([^)\s]+)[^)]*\)", lambda m: f'{keep(f"""<a href="{escape(m[2])}">""")}{m[1]}</a>', text)
+    text = re.sub(r"(?<![\w\"'(>\0])(https?://|www\.)[^\s<>\0]*[^\s<>\0.,;:!?\"')*_~]", lambda m: keep(f'<a href="{"http://" if m[1] == "www." else ""}{m[0]}">{m[0]}</a>'), text)
     text = re.sub(r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1", r"<strong>\2</strong>", text)
     text = re.sub(r"(?<![\w*])([*_])(?=\S)(.+?)(?<=\S)\1(?![\w*])", r"<em>\2</em>", text)
     text = re.sub(r"~~(?=\S)(.+?)(?<=\S)~~", r"<del>\1</del>", text)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import chm, comic, djvu, epub, fb2, markdown, mobi
 from .common import extension
@@ -15,6 +16,8 @@ from .model import SCHEMA, ParseError
 
 # Parsers by extension.
 PARSERS = {"epub": epub, "fb2": fb2, "cbz": comic, "cbt": comic, "chm": chm, "djvu": djvu, "djv": djvu, "mobi": mobi, "azw": mobi, "azw3": mobi, "md": markdown, "markdown": markdown, "mdx": markdown}
+#: Bytes of files whose rows a worker holds.
+HELD = 8 << 20
 TABLES = ("sections", "toc", "resources", "pages", "bookmarks")
 
 
@@ -39,17 +42,29 @@ def read_books(spark: SparkSession, path: str, thumbnails: bool = False, resourc
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "content")
+    return parse_files(files, thumbnails, resources)
+
+
+def parse_files(files: DataFrame, thumbnails: bool = False, resources: bool = True) -> DataFrame:
+    """The same for rows of path and content. What a worker has parsed is sent on after HELD bytes of files."""
     schema = T._parse_datatype_string(SCHEMA)
-    names = [f.name for f in schema]
+    kinds = to_arrow_schema(schema)
     first, whole = (1, False) if thumbnails else (None, resources)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                row = parse(name, bytes(content), first, whole)
-                yield pd.DataFrame({n: [row.get(n)] for n in names})
-
-    return files.mapInPandas(run, schema)
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                data = content.as_py() or b""
+                rows.append(parse(name.as_py() or "", data, first, whole))
+                held += len(data)
+                if held > HELD:
+                    yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def rows_of(books: DataFrame, part: str) -> DataFrame:
