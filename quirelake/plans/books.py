@@ -5,7 +5,10 @@ The SQL says what was put into the files.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +18,7 @@ from ..functions import text as T
 from ..operators import links as L
 from ..operators import positions as P
 from ..sources import bind
-from ..sources.reader import parse_files, rows_of
+from ..sources.reader import parse_bundles, parse_files, rows_of
 from ..streaming.ledgers import merged
 from .catalog import query, table
 from .positions import LEDGER, events
@@ -70,6 +73,18 @@ def epub_thumbnail(spark, sf_dir):
     return epubs(spark, sf_dir, True).select(number().alias("conv_id"), F.size("sections").cast("long").alias("n_sections"), F.size("resources").cast("long").alias("n_resources"), F.md5(F.col("sections")[0]["html"]).alias("html_md5"))
 
 
+@query("epub_bundles", f"SELECT conv_id, 'Talk ' || conv_id AS title, n AS n_sections, 2 * n AS n_entries FROM ({_TALK})")
+def epub_bundles(spark, sf_dir):
+    """The same books unpacked, a row for each file."""
+
+    def make(r: dict) -> list[tuple[str, bytes]]:
+        with zipfile.ZipFile(io.BytesIO(bind.epub(r["conv_id"], r["turns"], r["conv_id"] % 2 == 1, True))) as z:
+            return [(f"/x/b{r['conv_id']}.epub/{quote(n)}", z.read(n)) for n in z.namelist()]
+
+    found = parse_bundles(files(talks(spark, sf_dir), make))
+    return found.select(number().alias("conv_id"), "title", F.size("sections").cast("long").alias("n_sections"), F.size("toc").cast("long").alias("n_entries"))
+
+
 def _contents(odd: int) -> str:
     at = "'OEBPS/text/t ' || turn || '.xhtml'"
     return f"""WITH t AS (SELECT conv_id, turn, role, 2 * ({_NTH}) AS k FROM conversations WHERE conv_id % 2 = {odd})

@@ -13,28 +13,38 @@ TEXT = ("xhtml", "html", "htm")
 
 
 class Archive:
-    """Entries of a zip by path; a name is tried as it is and percent-encoded."""
+    """Entries of a zip, or of a folder as {path: bytes}, by path; a name is tried as it is and percent-encoded."""
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes | dict[str, bytes]):
+        self.files = content if isinstance(content, dict) else None
+        self.by_path = {}
+        if self.files is not None:
+            self.names = list(self.files)
+            self._index()
+            return
         try:
             self.zip = zipfile.ZipFile(io.BytesIO(content))
         except zipfile.BadZipFile:
             raise ParseError("not a zip archive") from None
         self.names = [x.filename for x in self.zip.infolist() if not x.is_dir()]
-        self.by_path = {}
+        self._index()
+
+    def _index(self) -> None:
         for name in self.names:
             for key in (name, normalize("/" + name)):
                 self.by_path.setdefault(key, name)
 
     def read(self, path: str) -> bytes | None:
         name = self.by_path.get(path)
+        if self.files is not None:
+            return self.files.get(name)
         try:
             return self.zip.read(name) if name else None
         except (zipfile.BadZipFile, RuntimeError, OSError, NotImplementedError):
             return None
 
 
-def parse(content: bytes, path: str, sections: int | None = None, resources: bool = True) -> Book:
+def parse(content: bytes | dict[str, bytes], path: str, sections: int | None = None, resources: bool = True) -> Book:
     archive = Archive(content)
     opf_path = None
     if data := archive.read("META-INF/container.xml"):

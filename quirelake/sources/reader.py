@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +17,14 @@ from .model import SCHEMA, ParseError
 
 # Parsers by extension.
 PARSERS = {"epub": epub, "fb2": fb2, "cbz": comic, "cbt": comic, "chm": chm, "djvu": djvu, "djv": djvu, "mobi": mobi, "azw": mobi, "azw3": mobi, "md": markdown, "markdown": markdown, "mdx": markdown}
+#: Files of an unpacked EPUB.
+BUNDLE = r"(?i)^(.*\.epub)/"
 #: Bytes of files whose rows a worker holds.
 HELD = 8 << 20
 TABLES = ("sections", "toc", "resources", "pages", "bookmarks")
 
 
-def parse(path: str, content: bytes, sections: int | None = None, resources: bool = True) -> dict:
+def parse(path: str, content: bytes | dict[str, bytes], sections: int | None = None, resources: bool = True) -> dict:
     """A row; a file that cannot be read becomes a row with parse_error."""
     ext = extension(path)
     try:
@@ -42,7 +45,22 @@ def read_books(spark: SparkSession, path: str, thumbnails: bool = False, resourc
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "content")
-    return parse_files(files, thumbnails, resources)
+    inside = F.col("path").rlike(BUNDLE)
+    plain = parse_files(files.where(~inside), thumbnails, resources)
+    return plain if glob else plain.unionByName(parse_bundles(files.where(inside), thumbnails, resources))
+
+
+def parse_bundles(files: DataFrame, thumbnails: bool = False, resources: bool = True) -> DataFrame:
+    """One row per folder whose name ends in .epub, from rows of path and content of the files in it. A book's files meet in one task."""
+    schema = T._parse_datatype_string(SCHEMA)
+    kinds = to_arrow_schema(schema)
+
+    def run(data: pa.Table) -> pa.Table:
+        name = data.column("book")[0].as_py()
+        held = {unquote(p[len(name) + 1 :]): c for p, c in zip(data.column("path").to_pylist(), data.column("content").to_pylist(), strict=True)}
+        return pa.Table.from_pylist([parse(name, held, 1 if thumbnails else None, resources and not thumbnails)], schema=kinds)
+
+    return files.withColumn("book", F.regexp_extract("path", BUNDLE, 1)).groupBy("book").applyInArrow(run, schema)
 
 
 def parse_files(files: DataFrame, thumbnails: bool = False, resources: bool = True) -> DataFrame:

@@ -289,6 +289,26 @@ def test_mobi():
             mobi.parse(bad, "x")
 
 
+def test_bundles_and_unknown_entities(spark, tmp_path):
+    for name, data in book_files().items():
+        path = tmp_path / "u.epub" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data if isinstance(data, bytes) else data.encode())
+    (tmp_path / "z.epub").write_bytes(zipped(book_files()))
+    a, b = (r.asDict() for r in reader.read_books(spark, f"file://{tmp_path}").orderBy("path").collect())
+    assert a["parse_error"] is None and {k: v for k, v in a.items() if k != "path"} == {k: v for k, v in b.items() if k != "path"}
+    assert fb2.xml("<a>&nbsp;&nosuch;&amp;&#65;</a>").text == "\xa0&nosuch;&A"
+
+
+def test_settings_are_written_where_they_can(spark, tmp_path):
+    from quirelake.operators.upkeep import write_settings
+
+    (tmp_path / "file").write_text("x")
+    frame = spark.createDataFrame([("dark", 2)], "theme string, n int")
+    done = write_settings(frame, [f"file://{tmp_path}/a", f"file://{tmp_path}/file/b", f"file://{tmp_path}/c"])
+    assert done == [f"file://{tmp_path}/a", f"file://{tmp_path}/c"] and spark.read.json(f"file://{tmp_path}/a").first().theme == "dark"
+
+
 def test_read_books(spark, tmp_path):
     (tmp_path / "a.epub").write_bytes(zipped(book_files()))
     (tmp_path / "sub").mkdir()
