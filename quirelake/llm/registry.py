@@ -22,4 +22,5 @@ ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
     "op7_license_scan": license_scan.SQL,
+    "op9_suffix_dedup": suffix_dedup.SQL,
 }

@@ -511,3 +511,20 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(table(spark, sf_dir, "documents"), ["doc_id"])
     removed = F.aggregate(F.zip_with("_ends", "_starts", lambda b, a: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     return found.select("doc_id", F.col("_n_bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("_starts").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as hex digits; windows of equal bytes meet by their digits, so this is for small tables.
+SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT r, doc_id, p, substr(h, 2 * p + 1, {2 * LENGTH}) AS s FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - {LENGTH - 1})) AS p FROM d WHERE len(h) >= {2 * LENGTH})),
+f AS MATERIALIZED (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING count(*) > 1),
+g AS MATERIALIZED (SELECT r, p FROM w JOIN f USING (s) WHERE first < doc_id),
+e AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + {LENGTH} THEN 0 ELSE 1 END AS new FROM g),
+k AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS k FROM e),
+s AS MATERIALIZED (SELECT r, k, min(p) AS a, max(p) + {LENGTH} AS b FROM k GROUP BY r, k),
+c AS (SELECT r, b, coalesce(lead(a) OVER (PARTITION BY r ORDER BY a), 1000000000) AS a FROM (SELECT r, a, b FROM s UNION ALL SELECT r, -1, 0 FROM d)),
+t AS (SELECT r, string_agg(substr(h, 2 * b + 1, 2 * least(a - b, len(h))), '' ORDER BY b) AS kept FROM c JOIN d USING (r) GROUP BY r),
+n AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN t USING (r) LEFT JOIN n USING (r)
+"""
