@@ -79,15 +79,15 @@ def _blocks(text: Column) -> Column:
     return F.concat(F.split(text, "\n", -1), F.split(text, r"\n[ \t\r]*\n", -1), F.array(text))
 
 
-def telling(units: list[dict[str, float]], least: float) -> list[str]:
+def telling(units: list[dict[str, float]], rarity: dict[str, float], least: float) -> list[str]:
     """Words of which every vector with a cosine of `least` to some template holds one.
 
-    What a template has besides its heaviest words is too short for that cosine alone.
+    What a template has besides its rarest words is too short for that cosine alone.
     """
     out = set()
     for unit in units:
         left = sum(x * x for x in unit.values())
-        for w, x in sorted(unit.items(), key=lambda p: (-p[1], p[0])):
+        for w, x in sorted(unit.items(), key=lambda p: (-rarity[p[0]], -p[1], p[0])):
             if left < least * least * 0.999999:
                 break
             out.add(w)
@@ -110,8 +110,8 @@ def license_scan(files: DataFrame, id_col: str, path: Column, text_col: str = "t
     row each. An empty table gives no row. Other columns of files are ignored.
 
     The driver gets one count for each word of the templates. Only texts that hold a telling word
-    are compared, once for each different text; no other can reach the least cosine. Directories are
-    folded before they are joined with the licences above them.
+    are compared; no other can reach the least cosine. Directories are folded before they are joined
+    with the licences above them.
     """
     terms = [(name, Counter(found)) for name, text in templates if (found := _tokens(text))]
     ids = [name for name, _ in terms]
@@ -125,28 +125,30 @@ def license_scan(files: DataFrame, id_col: str, path: Column, text_col: str = "t
     for _, t in terms:
         size = math.sqrt(sum((c * idf[w]) ** 2 for w, c in t.items()))
         unit.append({w: c * idf[w] / size for w, c in t.items()})
-    gate = F.array(*[F.lit(w) for w in [*telling(unit, least), "spdx-license-identifier"]])
+    gate = F.array(*[F.lit(w) for w in telling(unit, idf, least)]).cast("array<string>")
 
     spark = files.sparkSession
-    schema = "w string, k int, x double"  # a row for each word of each template: a fixed number
-    vectors = F.broadcast(spark.createDataFrame([(w, k, x * idf[w]) for k, u in enumerate(unit) for w, x in u.items()], schema))
+    # a row for each word of each template: a fixed number
+    vectors = F.broadcast(spark.createDataFrame([(w, k, x * idf[w]) for k, u in enumerate(unit) for w, x in u.items()], "w string, k int, x double"))
     heavy = F.broadcast(spark.createDataFrame(list(idf.items()), "w string, idf double"))
     names = F.broadcast(spark.createDataFrame(list(enumerate(ids)), "k int, name string"))
 
-    texts = rows.select(F.sha2("_text", 256).alias("h"), F.col("_text").alias("text")).where(F.arrays_overlap(_words(F.col("text")), gate)).groupBy("h").agg(F.first("text").alias("text"))
-    texts = texts.withColumn("n_all", F.size(_words(F.col("text"))))
-    blocks = texts.select("h", "n_all", F.posexplode(_blocks(F.col("text"))).alias("u", "block")).withColumn("words", _words(F.col("block"))).where(F.arrays_overlap("words", gate))
-    counted = staged(blocks.select("h", "n_all", "u", F.explode("words").alias("w")).groupBy("h", "n_all", "u", "w").agg(F.count(F.lit(1)).alias("c")), "notice-words")
-    own = counted.join(heavy, "w", "left").groupBy("h", "n_all", "u").agg(F.sum("c").alias("words"), F.coalesce(F.sum(F.when(F.col("idf").isNull(), F.col("c"))), F.lit(0)).alias("others"), F.coalesce(F.sum(F.pow(F.col("c") * F.col("idf"), F.lit(2.0))), F.lit(0.0)).alias("square"))
-    dots = counted.join(vectors, "w").groupBy("h", "u", "k").agg(F.sum(F.col("c") * F.col("x")).alias("dot"))
-    cosine = F.round(F.col("dot") / F.sqrt(F.col("others").cast("double") * F.col("others") + F.col("square")), 6)
-    scored = dots.join(own, ["h", "u"]).join(names, "k").select("h", "n_all", "words", "name", "k", cosine.alias("score")).where(F.col("score") >= least)
-    said = texts.select("h", "n_all", F.size(_words(F.regexp_extract("text", SPDX, 0))).cast("long").alias("words"), F.regexp_extract("text", SPDX, 1).alias("name")).where(F.col("name").isin(*ids))
-    scored = scored.unionByName(said.select("h", "n_all", "words", "name", F.lit(-1).alias("k"), F.lit(1.0).alias("score")))
-    best = scored.groupBy("h", "n_all").agg(F.min(F.struct((F.col("name") == RESERVED).alias("late"), (-F.col("score")).alias("minus"), "k", (-F.col("words")).alias("fewer"), "name")).alias("b"))
+    key = F.unhex(F.md5("_text"))
+    texts = rows.select(key.alias("h"), F.col("_text").alias("text"), _words(F.col("_text")).alias("all")).where(F.arrays_overlap("all", gate))
+    blocks = texts.select("h", F.size("all").alias("n_all"), F.monotonically_increasing_id().alias("r"), F.posexplode(F.array_distinct(_blocks(F.col("text")))).alias("u", "block"))
+    blocks = blocks.withColumn("words", _words(F.col("block"))).where(F.arrays_overlap("words", gate)).select("r", "h", "n_all", "u", F.size("words").alias("n_words"), F.explode("words").alias("w"))
+    counted = staged(blocks.join(heavy, "w").groupBy("r", "u", "h", "n_all", "n_words", "w", "idf").agg(F.count(F.lit(1)).alias("c")), "notice-words")
+    own = counted.groupBy("r", "u", "h", "n_all", "n_words").agg((F.col("n_words") - F.sum("c")).cast("double").alias("others"), F.sum(F.pow(F.col("c") * F.col("idf"), F.lit(2.0))).alias("square"))
+    dots = counted.join(vectors, "w").groupBy("r", "u", "k").agg(F.sum(F.col("c") * F.col("x")).alias("dot"))
+    cosine = F.round(F.col("dot") / F.sqrt(F.col("others") * F.col("others") + F.col("square")), 6)
+    scored = dots.join(own, ["r", "u"]).join(names, "k").withColumn("score", cosine).where(F.col("score") >= least)
+    best = scored.groupBy("h", "n_all").agg(F.min(F.struct((F.col("name") == RESERVED).alias("late"), (-F.col("score")).alias("minus"), "k", (-F.col("n_words")).alias("fewer"), "name")).alias("b"))
     best = staged(best.select("h", F.col("b.name").alias("license"), (-F.col("b.minus")).alias("score"), (-F.col("b.fewer") >= share * F.col("n_all")).alias("is_file")), "notices")
-    mine = rows.select("_id", F.regexp_replace("_path", "/?[^/]*$", "").alias("dir"), F.sha2("_text", 256).alias("h"))
-    found = staged(mine.join(best, "h", "left").select("_id", "dir", "license", "score", F.coalesce("is_file", F.lit(False)).alias("is_file")), "files")
+    said = F.when(F.col("_text").rlike("(?i)spdx-license-identifier"), F.regexp_extract("_text", SPDX, 1))
+    said = F.when(said.isin(*ids), F.struct(said.alias("name"), (F.size(_words(F.regexp_extract("_text", SPDX, 0))) >= share * F.size(_words(F.col("_text")))).alias("is_file")))
+    mine = rows.select("_id", F.regexp_replace("_path", "/?[^/]*$", "").alias("dir"), key.alias("h"), said.alias("said")).join(best, "h", "left")
+    score = F.when(F.col("said").isNotNull(), F.lit(1.0)).otherwise(F.col("score"))
+    found = staged(mine.select("_id", "dir", F.coalesce("said.name", "license").alias("license"), score.alias("score"), F.coalesce("said.is_file", "is_file", F.lit(False)).alias("is_file")), "files")
     grants = found.where("is_file").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("g")).select(F.col("dir").alias("above"), F.col("g.license").alias("license"), (-F.col("g.minus")).alias("score"))
     grants = staged(grants, "grants")
     parts = F.split("dir", "/")

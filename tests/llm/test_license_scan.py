@@ -75,7 +75,7 @@ def test_telling_words_bound_the_cosine():
         u = {w: r.random() for w in r.sample("abcdefghij", 5)}
         size = math.sqrt(sum(x * x for x in u.values()))
         units.append({w: x / size for w, x in u.items()})
-    gate = set(L.telling(units, 0.75))
+    gate = set(L.telling(units, {w: r.random() for w in "abcdefghij"}, 0.75))
     for u in units:
         assert math.sqrt(sum(x * x for w, x in u.items() if w not in gate)) < 0.75
 
