@@ -72,6 +72,8 @@ class Files:
         found = self.maps.get((shard, field))
         if found is None:
             path = f"{self.folder}/{self.prefix}-{shard}-{field}"
+            if kind is None and os.path.getsize(path):  # of four bytes where that is enough
+                kind = np.int64 if os.path.getsize(path) == 8 * len(self.array(shard, "key", np.uint64)) else np.uint32
             found = self.maps[shard, field] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
             if len(self.maps) > MAPS:
                 self.maps.popitem(last=False)
@@ -79,11 +81,11 @@ class Files:
             self.maps.move_to_end((shard, field))
         return found
 
-    def find(self, keys: np.ndarray, checks: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Which keys there are, and their fields (0 where there is none); keys in any order."""
-        order = np.argsort(keys)
-        found, out = np.zeros(len(keys), bool), [np.zeros(len(keys), kind) for kind in self.fields.values()]
-        shard = (keys[order] >> np.uint64(64 - self.bits)).astype(np.int64)
+    def find(self, keys: np.ndarray, checks: np.ndarray | None = None, shard: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which keys there are, and their fields (0 where there is none); keys in any order. shard: where not the first bits tell it."""
+        order = np.argsort(keys) if shard is None else np.lexsort((keys, shard))
+        found, out = np.zeros(len(keys), bool), [np.zeros(len(keys), kind or np.int64) for kind in self.fields.values()]
+        shard = (keys[order] >> np.uint64(64 - self.bits)).astype(np.int64) if shard is None else shard[order]
         for a, b in cuts(shard):
             held = self.array(int(shard[a]), "key", np.uint64)
             if len(held):

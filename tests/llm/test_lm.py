@@ -15,32 +15,35 @@ def tokens(text):
 
 class Brute:
     def __init__(self, texts):
-        self.c, self.pairs = Counter(), Counter()
+        self.c, self.threes = Counter(), Counter()
         for t in texts:
             w = tokens(t)
             self.c.update(w)
-            self.pairs.update(zip(["start", *w], w))
+            self.threes.update(zip(["start", "start", *w], ["start", *w], w))
         self.n, self.v = sum(self.c.values()), len(self.c)
+        self.pairs = Counter((v, w) for _, v, w in self.threes)  # in how many contexts
         self.cc = Counter(w for _, w in self.pairs)
-        self.after = {}
+        self.after, self.behind = {}, {}
         for (v, _), n in self.pairs.items():
             self.after.setdefault(v, []).append(n)
+        for (u, v, _), n in self.threes.items():
+            self.behind.setdefault((u, v), []).append(n)
         count = lambda x: [sum(n == k for n in x.values()) for k in (1, 2, 3, 4)]
-        self.d1, self.d2 = M.discounts(count(self.cc)), M.discounts(count(self.pairs))
+        self.d1, self.d2, self.d3 = M.discounts(count(self.cc)), M.discounts(count(self.pairs)), M.discounts(count(self.threes))
 
-    def p(self, w, v):
+    def p(self, w, v, u):
         types = len(self.pairs)
         rest = sum(self.d1[min(n, 3)] for n in self.cc.values()) / types if types else 1.0
-        one = (max(self.cc[w] - self.d1[min(self.cc[w], 3)], 0) / types if types else 0) + rest / (self.v + 1)
-        if v not in self.after:
-            return one
-        total, n = sum(self.after[v]), self.pairs[v, w]
-        return max(n - self.d2[min(n, 3)], 0) / total + sum(self.d2[min(x, 3)] for x in self.after[v]) / total * one
+        p = (max(self.cc[w] - self.d1[min(self.cc[w], 3)], 0) / types if types else 0) + rest / (self.v + 1)
+        for held, n, d in ((self.after.get(v), self.pairs[v, w], self.d2), (self.behind.get((u, v)), self.threes[u, v, w], self.d3)):
+            if held:
+                p = max(n - d[min(n, 3)], 0) / sum(held) + sum(d[min(x, 3)] for x in held) / sum(held) * p
+        return p
 
     def row(self, text):
         w = tokens(text)
         base = sum(math.log10((self.c[x] + 0.5) / (self.n + 0.5 * (self.v + 1))) for x in w)
-        return len(w), sum(self.c[x] > 0 for x in w), base, sum(math.log10(self.p(x, y)) for x, y in zip(w, ["start", *w]))
+        return len(w), sum(self.c[x] > 0 for x in w), base, sum(math.log10(self.p(x, y, z)) for x, y, z in zip(w, ["start", *w], ["start", "start", *w]))
 
 
 def made(seed, n=80):
@@ -63,14 +66,31 @@ def compare(spark, train, score, **more):
 
 def test_against_brute_force(spark, monkeypatch):
     brute = compare(spark, made(1), [*made(2), None, "", "unknown words only", "the the the"])
-    for v in (b"the", "start", b"never"):
-        whole = sum(brute.p(w, v) for w in brute.c) + brute.p(b"?", v)
+    for v, u in ((b"the", b"the"), (b"the", b"never"), ("start", "start"), (b"never", b"the")):
+        whole = sum(brute.p(w, v, u) for w in brute.c) + brute.p(b"?", v, u)
         assert whole == pytest.approx(1)
 
 
 def test_folds_and_shards(spark, monkeypatch):
     monkeypatch.setattr(M, "FOLD", 50)
-    compare(spark, made(3), made(4), grid=4)
+    compare(spark, made(3), made(4), target=60, rounds=3)
+
+
+def test_hot_words_have_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(M, "LONG", 3)
+    monkeypatch.setattr(M, "MORE", 4)
+    texts = ["the " * (i % 9) + f"the x{i} the y{i % 5} the" for i in range(150)]
+    plan = M.planned(np.array([5, 900, 3, 0, 90]), 100)
+    assert plan.first.tolist() == [0, 1, 10, 10, 10] and plan.parts.tolist() == [1, 9, 1, 1, 1] and plan.shards == 11 and plan.hot().sum() == 9
+    compare(spark, texts, [*texts[::7], "the the nothing", None], target=70)
+
+
+def test_rows_survive_packing():
+    r = np.random.default_rng(3)
+    v, u, w = (r.integers(0, 40, 3000).astype(np.uint64) for _ in range(3))
+    rows = M.counted(v, u, w)
+    assert all((a == b).all() for a, b in zip(rows, M.unpacked(M.packed(*rows))))
+    assert Counter(zip(v.tolist(), u.tolist(), w.tolist())) == {(a, b, c): n for a, b, c, n in zip(*(x.tolist() for x in rows))}
 
 
 def test_edges(spark):
