@@ -31,6 +31,12 @@ def cuts(x: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(at, at[1:], strict=False) if a < b]
 
 
+def within(keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """Numbers that sort by shard and then by the first bits of keys."""
+    bits = np.uint64(max(1, int(shard.max(initial=0)).bit_length()))
+    return shard.astype(np.uint64) << (np.uint64(64) - bits) | keys >> bits
+
+
 def joined(column, kind) -> np.ndarray:
     """Blobs of a column as one array."""
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_py(), kind) for x in column)])
@@ -83,7 +89,7 @@ class Files:
 
     def find(self, keys: np.ndarray, checks: np.ndarray | None = None, shard: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
         """Which keys there are, and their fields (0 where there is none); keys in any order. shard: where not the first bits tell it."""
-        order = np.argsort(keys) if shard is None else np.lexsort((keys, shard))
+        order = np.argsort(keys if shard is None else within(keys, shard))
         found, out = np.zeros(len(keys), bool), [np.zeros(len(keys), kind or np.int64) for kind in self.fields.values()]
         shard = (keys[order] >> np.uint64(64 - self.bits)).astype(np.int64) if shard is None else shard[order]
         for a, b in cuts(shard):

@@ -7,7 +7,6 @@ arrays of hashes with counts, in files of the shared folder that workers map int
 
 from __future__ import annotations
 
-import gc
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,19 +17,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashfiles import Files, cuts, joined, local_folder, runs, write
-from .shared import beside, mapped, small_batches, stage_path, staged, table, text_of
+from .hashfiles import Files, cuts, local_folder, runs, within, write
+from .shared import beside, drop_shuffles, mapped, small_batches, stage_path, staged, table, text_of, trim
 from .words import SPACED, Words, chunks, mixed
 
 #: Hashes of what precedes a text and of its end.
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 K = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens that a map task folds at once, and that a shard has, about.
-FOLD, TARGET = 3 << 19, 3 << 20
+FOLD, TARGET = 3 << 19, 3 << 19
 #: Passes over the texts, each for a part of the shards, whose intermediate files go before the next.
 ROUNDS = 2
 #: Continuations of a context beyond which its sums are kept.
-LONG = 64
+LONG = 16
 #: Bits of a word behind those of its context in a key.
 TAIL = np.uint64(28)
 #: A count of one byte that stands for a larger one, which is kept apart.
@@ -229,23 +228,24 @@ class Model:
         """Of each token whether it is known, its base and its log10 probability after u and v."""
         base = np.float64(self.tokens + 0.5 * (self.words + 1))
         d1, d2, d3 = self.discounts
-        known, back = np.unique(np.r_[w, v], return_inverse=True)
+        known, wi = np.unique(np.r_[w, START], return_inverse=True)
+        vi = np.r_[wi[-1], wi[:-2]]
+        vi[v == START], wi = wi[-1], wi[:-1]
         _, (c, cc, t2, m1, m2, m3) = self.by_word.find(known)
         c[known == END] = self.texts
-        wi, vi = back[: len(w)], back[len(w) :]
         uniform = 1.0 / (self.words + 1)
         one = np.full(len(known), uniform) if not self.pairs else np.maximum(cc - d1[np.minimum(cc, 3)], 0) / self.pairs + self.unseen * uniform
         rest = (d2[1] * m1 + d2[2] * m2 + d2[3] * m3) / np.maximum(t2, 1)
-        pairs, pair = np.unique(vi.astype(np.int64) * len(known) + wi, return_inverse=True)
-        pv, pw = known[pairs // len(known)], known[pairs % len(known)]
-        n = self.counts(self.two, self.two_more, context(pv, pv) | tail(pw), self.plan.of(pv, pw))[pair]
+        n = self.counts(self.two, self.two_more, context(v, v) | tail(w), self.plan.of(v, w))
         two = np.where(t2[vi] > 0, np.maximum(n - d2[np.minimum(n, 3)], 0) / np.maximum(t2[vi], 1) + rest[vi] * one[wi], one[wi])
         x, shard = context(u, v), self.plan.of(v, u)
-        _, at, back = np.unique(x ^ shard.astype(np.uint64), return_index=True, return_inverse=True)
-        t3, n1, n2, n3 = (y[back] for y in self.contexts(x[at], shard[at]))
-        key = x | tail(w)
-        _, at, back = np.unique(mixed(key) ^ shard.astype(np.uint64), return_index=True, return_inverse=True)
-        n = self.counts(self.three, self.three_more, key[at], shard[at])[back]
+        order = np.argsort(within(x, shard))
+        xs, ss = x[order], shard[order]
+        new = np.r_[True, (xs[1:] != xs[:-1]) | (ss[1:] != ss[:-1])]
+        back = np.empty(len(x), np.int64)
+        back[order] = np.cumsum(new) - 1
+        t3, n1, n2, n3 = (y[back] for y in self.contexts(xs[new], ss[new]))
+        n = self.counts(self.three, self.three_more, x | tail(w), shard)
         left = (d3[1] * n1 + d3[2] * n2 + d3[3] * n3) / np.maximum(t3, 1)
         p = np.where(t3 > 0, np.maximum(n - d3[np.minimum(n, 3)], 0) / np.maximum(t3, 1) + left * two, two)
         return c[wi] > 0, np.log10((c[wi] + 0.5) / base), np.log10(p)
@@ -323,6 +323,7 @@ def train(docs: DataFrame, text_col: str = "text", target: int = TARGET, rounds:
 
     def merge(data: pa.Table) -> pa.Table:
         shard = data.column("shard")[0].as_py()
+        trim()  # of what the group before this one has left
         v, u, w, c = counted(*(np.concatenate(x) for x in zip(*(unpacked(x.as_py()) for x in data.column("values")), strict=True)))
         save(folder, "three", shard, context(u, v) | tail(w), c)
         at = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])])
@@ -399,6 +400,7 @@ def train(docs: DataFrame, text_col: str = "text", target: int = TARGET, rounds:
                 if n >= FOLD:
                     yield fold(held)
                     held, n = [], 0
+                    trim()
             if n:
                 yield fold(held)
 
@@ -406,8 +408,7 @@ def train(docs: DataFrame, text_col: str = "text", target: int = TARGET, rounds:
         parts.append(rows.where(F.col("role") != PAIRS))
         if hot[lo:hi].any():
             pairs.append(rows.where(F.col("role") == PAIRS))
-        gc.collect()
-        spark._jvm.System.gc()  # shuffle files of a round go before the next one makes its own
+        drop_shuffles(spark)  # before the next round makes its own
     if pairs:  # of a hot bucket whose shards fall into several rounds too
         parts.append(staged(reduce(DataFrame.unionByName, pairs).groupBy("shard").applyInArrow(merge_pairs, _NAMES), "lm-pairs"))
     every = reduce(DataFrame.unionByName, parts)
