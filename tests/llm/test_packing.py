@@ -79,3 +79,30 @@ def test_round_trip(spark):
 def test_edges(spark):
     verify(spark, [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "b"), (4, "word " * 30000)])
     assert K.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_ids_of_a_whole_table_and_few_sequences(spark):
+    """Every text of a table against `tokenizers`; the sequences are near the least number that could hold them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    whole = Tokenizer.from_file(PATH)
+    rows = K.pack(docs, PATH, with_ids=True).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert all(got[r.doc_id] == [*whole.encode(r.text or "", add_special_tokens=False).ids, 1] for r in docs.collect())
+    total = sum(r.length for r in rows)
+    assert len({r.sequence_id for r in rows}) <= 1.02 * total / K.CAPACITY + 2
+
+
+def test_other_vocabularies_go_through_tokenizers(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as source:
+        made = json.load(source)
+    assert len(K.ranks_of(made)) == 256 + len(made["model"]["merges"])
+    assert K.ranks_of(made | {"normalizer": {"type": "Lowercase"}}) is None
+    first, second, *rest = made["model"]["merges"]
+    assert K.ranks_of(made | {"model": made["model"] | {"merges": [second, first, *rest]}}) is None
+    lower = tmp_path / "lower.json"
+    lower.write_text(json.dumps(made | {"normalizer": {"type": "Lowercase"}}), encoding="utf-8")
+    assert K.Encoder(str(lower)).quick is None and K.Encoder(str(lower))(["ABC"]) == K.Encoder(PATH)(["abc"])
