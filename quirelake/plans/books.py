@@ -203,7 +203,7 @@ def djvu_page_files(spark, sf_dir):
 def mobis(spark, sf_dir) -> DataFrame:
     def make(r: dict) -> list[tuple[str, bytes]]:
         body = "".join(bind.page(x["role"], x["text"]) for x in r["turns"])
-        return [(f"m{r['conv_id']}.mobi", bind.mobi(f"Talk {r['conv_id']}", [r["turns"][0]["role"], "B"], body.encode(), r["conv_id"] % 2 == 0))]
+        return [(f"m{r['conv_id']}.mobi", bind.mobi(f"Talk {r['conv_id']}", [r["turns"][0]["role"], "B"], body.encode(), (1, 2, 17480)[r["conv_id"] % 3]))]
 
     return parse_files(files(talks(spark, sf_dir), make))
 
@@ -214,6 +214,23 @@ def mobi_books(spark, sf_dir):
     return mobis(spark, sf_dir).select(number().alias("conv_id"), "title", "author", "language", F.md5(F.col("sections")[0]["html"]).alias("html_md5"), F.col("resources")[0]["path"].alias("picture"))
 
 
+@query("mobi_contents", f"""SELECT conv_id, ({_NTH})::INT AS entry_idx, CASE WHEN {_NTH} > 0 THEN 0 END::INT AS parent_idx, role || ' ' || turn AS title,
+md5(string_agg('<a id="fp' || (10 * turn) || '"></a>', '') OVER (PARTITION BY conv_id ORDER BY turn)) AS anchors_md5 FROM conversations""")
+def mobi_contents(spark, sf_dir):
+    """An index with an entry for each turn, below the first; each offset gets its anchor."""
+
+    def make(r: dict) -> list[tuple[str, bytes]]:
+        text = b"".join(b"<p>word%02d" % (x["turn"] % 100) for x in r["turns"]).ljust(10 * max(x["turn"] for x in r["turns"]) + 20, b".")
+        entries = [(f"{x['role']}  {x['turn']} ", 10 * x["turn"], 0 if k else None) for k, x in enumerate(r["turns"])]
+        return [(f"m{r['conv_id']}.mobi", bind.mobi("T", ["A"], text, 2, entries))]
+
+    books = parse_files(files(talks(spark, sf_dir), make))
+    anchors = F.regexp_extract_all(F.col("sections")[0]["html"], F.lit('<a id="fp[0-9]+"></a>'), F.lit(0))
+    rows = books.select(number().alias("conv_id"), anchors.alias("anchors"), F.inline("toc"))
+    mine = F.array_position("anchors", F.concat(F.lit('<a id="'), F.col("fragment"), F.lit('"></a>')))
+    return rows.select("conv_id", "entry_idx", "parent_idx", "title", F.md5(F.array_join(F.slice("anchors", F.lit(1), mine.cast("int")), "")).alias("anchors_md5"))
+
+
 def chms(spark, sf_dir) -> DataFrame:
     """The first topic of each stands in an LZX frame if it fits one."""
 
@@ -261,7 +278,7 @@ def book_errors(spark, sf_dir):
     def make(r: dict) -> list[tuple[str, bytes]]:
         kind, n, page = r["page_id"] % 5, r["page_id"], (r["html"] or "").encode()
         if kind == 3:
-            locked = bytearray(bind.mobi("T", ["A"], b"text", False))
+            locked = bytearray(bind.mobi("T", ["A"], b"text"))
             start = int.from_bytes(locked[78:82], "big")
             locked[start + 12 : start + 14] = b"\0\1"
             return [(f"b{n}.mobi", bytes(locked))]

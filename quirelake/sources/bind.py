@@ -104,17 +104,65 @@ def palmdoc(data: bytes) -> bytes:
     return bytes(out)
 
 
-def mobi(title: str, authors: list[str], text: bytes, packed: bool, size: int = 4096) -> bytes:
-    plain = [text[k : k + size] for k in range(0, len(text), size)]
+def coded(data: bytes) -> bytes:
+    """Text in codes of eight bits for single bytes, but runs of two spaces in one for a phrase of two codes."""
+    return bytes(255 - x for x in data.replace(b"  ", b"\0"))
+
+
+def code_tables() -> list[bytes]:
+    """The records that say so: phrase 0 is two codes for a space."""
+    tables = b"HUFF" + struct.pack(">III", 24, 24, 24 + 1024) + bytes(8) + struct.pack(">256I", *[255 << 8 | 128 | 8] * 256) + struct.pack(">64I", *[0, 0] * 32)
+    phrases = [struct.pack(">H", 2) + bytes([255 - 32] * 2), *(struct.pack(">H", 0x8001) + bytes([x]) for x in range(1, 256))]
+    starts, at = [], 512
+    for x in phrases:
+        starts.append(at)
+        at += len(x)
+    return [tables, b"CDIC" + struct.pack(">III", 16, 256, 8) + struct.pack(">256H", *starts) + b"".join(phrases)]
+
+
+def _ends_with_bit(n: int) -> bytes:
+    out = [n & 0x7F | 0x80]
+    while n := n >> 7:
+        out.append(n & 0x7F)
+    return bytes(reversed(out))
+
+
+def contents_index(entries: list[tuple[str, int, int | None]]) -> list[bytes]:
+    """An index of (title, byte offset, parent): its head, its entries, and their labels."""
+    labels, rows = b"", []
+    for k, (title, offset, parent) in enumerate(entries):
+        name, label = b"%04d" % k, title.encode()
+        tail = _ends_with_bit(offset) + _ends_with_bit(len(labels)) + (_ends_with_bit(parent) if parent is not None else b"")
+        rows.append(bytes([len(name)]) + name + bytes([7 if parent is not None else 3]) + tail)
+        labels += _ends_with_bit(len(label)) + label
+    tagx = b"TAGX" + struct.pack(">II", 28, 1) + bytes([1, 1, 1, 0, 3, 1, 2, 0, 21, 1, 4, 0, 0, 0, 0, 1])
+    head = bytearray(192)
+    head[:4], head[4:8], head[24:28], head[52:56] = b"INDX", struct.pack(">I", 192), struct.pack(">I", 1), struct.pack(">I", 1)
+    data, starts, at = bytearray(192), [], 192
+    for x in rows:
+        starts.append(at)
+        at += len(x)
+    data[:4], data[4:8], data[20:24], data[24:28] = b"INDX", struct.pack(">I", 192), struct.pack(">I", at), struct.pack(">I", len(rows))
+    return [bytes(head) + tagx, bytes(data) + b"".join(rows) + b"IDXT" + b"".join(struct.pack(">H", x) for x in starts), labels]
+
+
+def mobi(title: str, authors: list[str], text: bytes, packing: int = 1, entries: list[tuple[str, int, int | None]] = (), size: int = 4096) -> bytes:
+    """packing is 1 for plain text, 2 for PalmDOC, 17480 for phrase codes."""
+    pack = {1: bytes, 2: palmdoc, 17480: coded}[packing]
+    parts = [pack(text[k : k + size]) for k in range(0, len(text), size)]
     exth = b"".join(struct.pack(">II", k, len(v.encode()) + 8) + v.encode() for k, v in [*((100, x) for x in authors), (503, title), (524, "en")])
     extra = b"EXTH" + struct.pack(">II", 12 + len(exth), len(authors) + 2) + exth
+    pictures, tables, listing = [picture("jpg", 3, 4)], code_tables() if packing == 17480 else [], contents_index(list(entries)) if entries else []
+    first = len(parts) + 1
     head = bytearray(16 + 232)
-    head[:16] = struct.pack(">HHIHHHH", 2 if packed else 1, 0, len(text), len(plain), size, 0, 0)
+    head[:16] = struct.pack(">HHIHHHH", packing, 0, len(text), len(parts), size, 0, 0)
     head[16:32] = b"MOBI" + struct.pack(">III", 232, 2, 65001)
     head[84:92] = struct.pack(">II", 248 + len(extra), 4)
-    head[108:112] = struct.pack(">I", len(plain) + 1)
+    head[108:112] = struct.pack(">I", first + len(tables) + len(listing))
+    head[112:120] = struct.pack(">II", first, len(tables)) if tables else bytes(8)
     head[128:132] = struct.pack(">I", 0x40)
-    whole = [bytes(head) + extra + b"Full", *(palmdoc(x) if packed else x for x in plain), picture("jpg", 3, 4)]
+    head[244:248] = struct.pack(">I", first + len(tables) if listing else 0xFFFFFFFF)
+    whole = [bytes(head) + extra + b"Full", *parts, *tables, *listing, *pictures]
     out, at = bytearray(60) + b"BOOKMOBI" + bytes(8) + struct.pack(">H", len(whole)), 78 + 8 * len(whole) + 2
     for r in whole:
         out += struct.pack(">II", at, 0)

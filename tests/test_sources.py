@@ -284,7 +284,7 @@ def test_mobi():
     assert mobi.trimmed(b"text" + b"\x01\xaa", 1) == b"text\x01\xaa"[: 6 - (0xAA & 3) - 1]
     assert mobi.trimmed(b"text" + b"zz\x83", 2) == b"text"
     assert mobi.parse(mobi_file([b"ab\xc1"], b"ab a", packing=2), "d/y.mobi").sections[0][4] == "ab A"
-    for bad in (b"x", mobi_file([text], text, locked=2), mobi_file([text], text, packing=17480)):
+    for bad in (b"x", mobi_file([text], text, locked=2), mobi_file([text], text, packing=17480), mobi_file([text], text, packing=3)):
         with pytest.raises(ParseError):
             mobi.parse(bad, "x")
 
@@ -309,6 +309,21 @@ def test_settings_are_written_where_they_can(spark, tmp_path):
     assert done == [f"file://{tmp_path}/a", f"file://{tmp_path}/c"] and spark.read.json(f"file://{tmp_path}/a").first().theme == "dark"
 
 
+def test_mobi_phrases_and_contents():
+    from quirelake.sources import bind
+
+    text = ("<h1>Å</h1>" + "a  b    c " * 900).encode()
+    b = mobi.parse(bind.mobi("T", ["A"], text, 17480, [("One", 0, None), ("Two", 20, 0), ("Far", 10**6, None)]), "x.mobi")
+    assert b.toc == [(None, 0, "One", None, "fp0"), (0, 1, "Two", None, "fp20"), (None, 0, "Far", None, None)] and b.toc_is_fallback
+    html = b.sections[0][4]
+    assert html.replace('<a id="fp0"></a>', "").replace('<a id="fp20"></a>', "").encode() == text and html.startswith('<a id="fp0"></a><h1>')
+    tables = bind.code_tables()
+    tables[1] = tables[1].replace(struct.pack(">H", 2) + bytes([223, 223]), struct.pack(">H", 2) + bytes([255, 255]))  # a phrase of itself
+    with pytest.raises(ParseError):
+        mobi.Huffman(tables[0], tables[1:]).unpacked(b"\xff")
+    assert mobi.number(b"\x01\x82", 0) == (130, 2)
+
+
 def test_read_books(spark, tmp_path):
     (tmp_path / "a.epub").write_bytes(zipped(book_files()))
     (tmp_path / "sub").mkdir()
