@@ -24,7 +24,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     An id that occurs in several rows with equal text is counted in each and kept in each. A null
     id never beats another; a group with null ids only keeps them. An empty table gives no row.
-    Other columns of docs are ignored.
+    Texts are read whole, however long. Other columns of docs are ignored.
     """
     best = {"min": F.min, "max": F.max}[keep]
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).withColumn("_h", hash_of(F.col("_text")))

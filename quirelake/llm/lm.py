@@ -431,8 +431,12 @@ def lm_score(docs: DataFrame, keep: list[str], model: Model, text_col: str = "te
     """keep's columns of every row, n_tokens, n_known, base_score and score (log10 of the text's probability).
 
     A-Z is lower-cased; tokens are what ASCII white space separates and then one end, so null and
-    empty texts have one token. Repeated rows get a row each; an empty table gives none; keep may
-    hold columns of any name.
+    empty texts have one token; a text of any length is read whole. Words are told apart by 64 bits of
+    hashes, so two of 10^9 words fall together with a chance of 0.03; then n_known and scores of texts
+    with them may be off. Bigrams and trigrams are told apart within their shard, by 36 bits for the
+    context and 28 for the word: a context that was never seen passes for one that was in about
+    0.002 % of cases. Repeated rows get a row each; an empty table gives none; keep may
+    hold columns of any name; one named like a result gives way to it.
     """
 
     def run(texts: pa.Array) -> pa.Array:

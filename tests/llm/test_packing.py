@@ -106,3 +106,9 @@ def test_other_vocabularies_go_through_tokenizers(tmp_path):
     lower = tmp_path / "lower.json"
     lower.write_text(json.dumps(made | {"normalizer": {"type": "Lowercase"}}), encoding="utf-8")
     assert K.Encoder(str(lower)).quick is None and K.Encoder(str(lower))(["ABC"]) == K.Encoder(PATH)(["abc"])
+
+
+def test_a_difference_gives_up_the_quick_way():
+    encode, whole = K.Encoder(PATH), Tokenizer.from_file(PATH)
+    encode.quick = type("Wrong", (), {"encode_to_numpy": lambda self, text, **more: np.array([7], np.uint32)})()
+    assert encode(["some text", "more"]) == [np.array(whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ("some text", "more")] and encode.quick is None
