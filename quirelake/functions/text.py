@@ -284,6 +284,20 @@ def guessed_level(label: Column) -> Column:
 # Books and their pages
 
 
+def annotations(text: Column) -> Column:
+    """(background, zoom, metadata) of a page's annotations; of equal keys the last one counts."""
+    block = F.regexp_extract(text, r"(?m)\(\s*metadata\b([\s\S]*?)\)\s*$", 1)
+    pair = r'\(\s*([\w-]+)\s+"((?:[^"\\]|\\.)*)"\s*\)'
+    keys, values = (F.regexp_extract_all(block, F.lit(pair), F.lit(k)) for k in (1, 2))
+    rows = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    last = F.filter(rows, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["key"]))
+    return F.struct(
+        F.concat(F.lit("#"), F.nullif(F.regexp_extract(text, r"\(\s*background\s+#?([0-9A-Fa-f]{6})\s*\)", 1), F.lit(""))).alias("background"),
+        F.nullif(F.regexp_extract(text, r"\(\s*zoom\s+([a-z0-9]+)\s*\)", 1), F.lit("")).alias("zoom"),
+        F.map_from_entries(last).alias("metadata"),
+    )
+
+
 def cut_at_heading(html: Column, limit: int, window: int = 4000) -> Column:
     """The first `limit` characters of a longer text, back to the last heading of the last `window` of them."""
     shown = F.left(html, F.lit(limit))

@@ -18,7 +18,7 @@ from ..functions import text as T
 from ..operators import links as L
 from ..operators import positions as P
 from ..sources import bind
-from ..sources.reader import parse_bundles, parse_files, rows_of
+from ..sources.reader import parse_bundles, parse_files, read_zones, rows_of
 from ..streaming.ledgers import merged
 from .catalog import query, table
 from .positions import LEDGER, events
@@ -200,6 +200,47 @@ def djvu_page_files(spark, sf_dir):
     return again.select(F.regexp_extract("path", "^d([0-9]+)", 1).cast("long").alias("o_custkey"), number().cast("int").alias("page_idx"), page["width"].alias("width"), page["dpi"].alias("dpi"))
 
 
+_ZONE = "SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS page_idx, o_orderkey::VARCHAR AS k FROM orders"
+
+
+@query("djvu_zones", f"""WITH o AS ({_ZONE})
+SELECT o_custkey, page_idx, 0 AS zone_idx, NULL::INT AS parent_idx, 'page' AS kind, 0 AS xmin, 0 AS ymin, 1000 AS xmax, 800 AS ymax, 'order ' || k AS text FROM o
+UNION ALL SELECT o_custkey, page_idx, 1, 0, 'line', 10, 750, 510, 780, 'order ' || k FROM o UNION ALL SELECT o_custkey, page_idx, 2, 1, 'word', 10, 750, 60, 780, 'order' FROM o
+UNION ALL SELECT o_custkey, page_idx, 3, 1, 'word', 65, 750, (65 + 10 * length(k))::INT, 780, k FROM o""")
+def djvu_zones(spark, sf_dir):
+    """Hidden text of pages, with the boxes of its line and words."""
+
+    def make(row: dict) -> list[tuple[str, bytes]]:
+        pages = [(1000, 800, 300)] * len(row["orders"])
+        return [(f"d{row['o_custkey']}.djvu", bind.djvu(pages, "T", "A", [["order", str(x["o_orderkey"])] for x in row["orders"]]))]
+
+    found = read_zones(files(by_customer(spark, sf_dir), make))
+    return found.select(number().alias("o_custkey"), "page_idx", "zone_idx", "parent_idx", "kind", "xmin", "ymin", "xmax", "ymax", "text")
+
+
+@query("djvu_annotations", """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '#00fF0' || (p_partkey % 10) END AS background, CASE WHEN p_partkey % 3 > 0 THEN 'page' END AS zoom, p_name AS title, 'a\\"' || p_size AS author, 2 AS n_keys FROM part""")
+def djvu_annotations(spark, sf_dir):
+    key = F.col("p_partkey")
+    text = F.concat(
+        F.when(key % 2 == 0, F.concat(F.lit("( background #00fF0"), (key % 10).cast("string"), F.lit(" )\n"))).otherwise(""),
+        F.when(key % 3 > 0, "(zoom page) ").otherwise(""),
+        F.lit('(metadata (Title "first") (Title "'), F.col("p_name"), F.lit('") (author "a\\"'), F.col("p_size").cast("string"), F.lit('"))\n'),
+    )
+    found = T.annotations(text)
+    return table(spark, sf_dir, "part").select("p_partkey", found["background"].alias("background"), found["zoom"].alias("zoom"), found["metadata"]["Title"].alias("title"), found["metadata"]["author"].alias("author"), F.size(found["metadata"]).alias("n_keys"))
+
+
+@query("fb2_entities", "SELECT doc_id, 'A B €' || doc_id || ' é &nosuch; <' AS title FROM documents")
+def fb2_entities(spark, sf_dir):
+    """Entities of HTML in XML, which knows five: the others become characters, unknown ones stay."""
+
+    def make(r: dict) -> list[tuple[str, bytes]]:
+        return [(f"e{r['doc_id']}.fb2", f"<FictionBook><description><title-info><book-title>A&nbsp;B &euro;{r['doc_id']} &eacute; &nosuch; &amp;lt;</book-title></title-info></description><body/></FictionBook>".encode())]
+
+    books = parse_files(files(table(spark, sf_dir, "documents").select("doc_id"), make), resources=False)
+    return books.select(number().alias("doc_id"), "title")
+
+
 def mobis(spark, sf_dir) -> DataFrame:
     def make(r: dict) -> list[tuple[str, bytes]]:
         body = "".join(bind.page(x["role"], x["text"]) for x in r["turns"])

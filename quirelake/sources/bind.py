@@ -174,10 +174,21 @@ def iff(name: bytes, payload: bytes) -> bytes:
     return name + struct.pack(">I", len(payload)) + payload + b"\0" * (len(payload) % 2)
 
 
-def djvu(pages: list[tuple[int, int, int]], title: str, author: str) -> bytes:
-    """Pages of (width, height, dpi) without pixels, with metadata in a plain annotation."""
+def hidden_text(words: list[str]) -> bytes:
+    """A text chunk of one page of 1000 x 800 with one line of words, each ten units a letter."""
+    text = " ".join(words).encode()
+
+    def zone(kind: int, x: int, y: int, w: int, h: int, start: int, length: int, below: int) -> bytes:
+        return bytes([kind]) + struct.pack(">5H", *(v + 0x8000 for v in (x, y, w, h, start))) + length.to_bytes(3, "big") + below.to_bytes(3, "big")
+
+    found = [zone(6, 5 if k else 0, 0, 10 * len(x), 30, 1 if k else 0, len(x), 0) for k, x in enumerate(words)]
+    return len(text).to_bytes(3, "big") + text + b"\1" + zone(1, 0, 0, 1000, 800, 0, len(text), 1) + zone(5, 10, 20, 500, 30, 0, len(text), len(words)) + b"".join(found)
+
+
+def djvu(pages: list[tuple[int, int, int]], title: str, author: str, words: list[list[str]] = ()) -> bytes:
+    """Pages of (width, height, dpi) without pixels, with metadata in a plain annotation and words as hidden text."""
     note = iff(b"ANTa", f'(metadata (Title "{title}") (author "{author}"))'.encode())
-    forms = [iff(b"FORM", b"DJVU" + iff(b"INFO", struct.pack(">HH", w, h) + b"\x18\0" + struct.pack("<H", dpi) + b"\x16\0") + (note if not i else b"")) for i, (w, h, dpi) in enumerate(pages)]
+    forms = [iff(b"FORM", b"DJVU" + iff(b"INFO", struct.pack(">HH", w, h) + b"\x18\0" + struct.pack("<H", dpi) + b"\x16\0") + (note if not i else b"") + (iff(b"TXTa", hidden_text(words[i])) if words else b"")) for i, (w, h, dpi) in enumerate(pages)]
     return b"AT&T" + (forms[0] if len(forms) == 1 else iff(b"FORM", b"DJVM" + iff(b"DIRM", b"\x81\0\0") + b"".join(forms)))
 
 

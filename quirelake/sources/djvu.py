@@ -84,6 +84,56 @@ def outline(flat: list[tuple[str, str, int]], book: Book) -> None:
     walk(len(flat), None)
 
 
+# Kinds of zones, from 1, and those that lie below the zone before them.
+ZONES = ["page", "column", "region", "paragraph", "line", "word", "character"]
+BELOW = {"page", "paragraph", "line"}
+
+
+def zones(data: bytes) -> tuple[str, list[dict]]:
+    """Hidden text of a plain text chunk and its zones in reading order, each with its parent's number, box and text.
+
+    Places are written relative to the zone before, or else to the one around.
+    """
+    n = int.from_bytes(data[:3], "big")
+    text, at = data[3 : 3 + n].decode("utf-8", "replace"), 3 + n
+    rows: list[dict] = []
+    if data[at : at + 1] != b"\1":
+        return text, rows
+    at += 1
+    todo: list[list] = [[1, None, None]]  # zones to come, the one around them, the one before
+    while todo:
+        left, around, before = todo[-1]
+        if not left:
+            todo.pop()
+            continue
+        if at + 17 > len(data) or not 1 <= data[at] <= len(ZONES):
+            raise ParseError("damaged text zones")
+        kind = ZONES[data[at] - 1]
+        x, y, w, h, start = (v - 0x8000 for v in struct.unpack(">5H", data[at + 1 : at + 11]))
+        length, below = int.from_bytes(data[at + 11 : at + 14], "big"), int.from_bytes(data[at + 14 : at + 17], "big")
+        at += 17
+        if before is not None:
+            p = rows[before]
+            x, y = (x + p["xmin"], p["ymin"] - y - h) if kind in BELOW else (x + p["xmax"], y + p["ymin"])
+            start += p["start"] + p["length"]
+        elif around is not None:
+            p = rows[around]
+            x, y, start = x + p["xmin"], p["ymax"] - y - h, start + p["start"]
+        rows.append({"zone_idx": len(rows), "parent_idx": around, "kind": kind, "xmin": x, "ymin": y, "xmax": x + w, "ymax": y + h, "start": start, "length": length, "text": text[max(start, 0) : max(start + length, 0)]})
+        todo[-1] = [left - 1, around, len(rows) - 1]
+        todo.append([below, len(rows) - 1, None])
+    return text, rows
+
+
+def page_zones(content: bytes) -> list[dict]:
+    """Zones of all pages of a file that have plain hidden text."""
+    top = chunks(content, 4, len(content)) if content[:4] == b"AT&T" else []
+    if not top or top[0].id != "FORM":
+        raise ParseError("not a DjVu file")
+    pages = [top[0]] if top[0].kind == "DJVU" else [c for c in top[0].children if c.kind == "DJVU"]
+    return [{"page_idx": i} | row for i, page in enumerate(pages) if (c := page.child("TXTa")) for row in zones(content[c.start : c.end])[1]]
+
+
 def single_page(b: bytes, form: Chunk) -> bytes:
     """A page as a file of its own."""
     inner = b[form.at : form.end]

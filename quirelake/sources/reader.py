@@ -85,6 +85,23 @@ def parse_files(files: DataFrame, thumbnails: bool = False, resources: bool = Tr
     return files.select("path", "content").mapInArrow(run, schema)
 
 
+def read_zones(files: DataFrame) -> DataFrame:
+    """Hidden text zones of DjVu files given as rows of path and content; a file that cannot be read gives none."""
+    schema = T._parse_datatype_string("path string, page_idx int, zone_idx int, parent_idx int, kind string, xmin int, ymin int, xmax int, ymax int, start int, length int, text string")
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                try:
+                    rows = djvu.page_zones(content.as_py() or b"")
+                except ParseError:
+                    continue
+                yield pa.RecordBatch.from_pylist([{"path": name.as_py()} | r for r in rows], schema=kinds)
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
 def rows_of(books: DataFrame, part: str) -> DataFrame:
     """A nested part as a table: book, the file's path, and the part's columns."""
     return books.select(F.col("path").alias("book"), F.explode(part).alias("_r")).select("book", "_r.*")

@@ -143,6 +143,18 @@ def test_djvu():
     assert made.toc == [(None, 0, "A", None, "1"), (0, 1, "B", None, "2"), (0, 1, "C", None, None), (None, 0, "D", None, None)]
 
 
+def test_hidden_text_zones():
+    from quirelake.sources import bind
+
+    text, rows = djvu.zones(bind.hidden_text(["one", "two", "three"]))
+    assert text == "one two three" and [(r["kind"], r["parent_idx"], r["text"]) for r in rows] == [("page", None, text), ("line", 0, text), ("word", 1, "one"), ("word", 1, "two"), ("word", 1, "three")]
+    assert [(r["xmin"], r["xmax"]) for r in rows[2:]] == [(10, 40), (45, 75), (80, 130)]
+    assert djvu.zones(b"\0\0\2ab") == ("ab", []) and djvu.zones(b"") == ("", [])
+    for bad in (b"\0\0\0\1\x09" + bytes(16), b"\0\0\0\1\x01"):
+        with pytest.raises(ParseError):
+            djvu.zones(bad)
+
+
 class BitWriter:
     def __init__(self):
         self.bits = []
