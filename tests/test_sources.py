@@ -1,5 +1,6 @@
 import base64
 import io
+import random
 import struct
 import tarfile
 import zipfile
@@ -119,6 +120,32 @@ def test_markdown():
     assert markdown.to_html("import x\n\ny", mdx=True) == "<p>y</p>" and "mermaid" in markdown.to_html("```mermaid\na\n```")
 
 
+def test_more_markdown():
+    h = markdown.to_html
+    assert h("- a\n  - b\n  - c\n- d") == "<ul><li>a\n<ul><li>b</li><li>c</li></ul></li><li>d</li></ul>"
+    assert h("3. x\n4. y\n\ntext") == '<ol start="3"><li>x</li><li>y</li></ol>\n<p>text</p>'
+    assert h("* a\n  more\n\n  para\n* b") == "<ul><li>a more\n<p>para</p></li><li>b</li></ul>"
+    assert h("- a\n1. b") == "<ul><li>a</li></ul>\n<ol><li>b</li></ol>"
+    assert h("Title\n===\n\nSub *x*\n---\ntext") == '<h1 id="title">Title</h1>\n<h2 id="sub-x">Sub <em>x</em></h2>\n<p>text</p>'
+    assert h("a  \nb\\\nc\nd") == "<p>a<br>\nb<br>\nc\nd</p>"
+    assert h(r"\*no\* 1\. \< *yes*") == "<p>*no* 1. &lt; <em>yes</em></p>"
+    assert h("see [the *x*][One] and [two][] and [three] [none]\n\n[one]: /a 'T'\n[Two]: <http://b>\n[three]: c") == '<p>see <a href="/a">the <em>x</em></a> and <a href="http://b">two</a> and <a href="c">three</a> [none]</p>'
+    assert h("|a|b|c|\n|:-|:-:|-:|\n|1|2 \\| 3|\n\nx") == '<table><tr><th align="left">a</th><th align="center">b</th><th align="right">c</th></tr><tr><td align="left">1</td><td align="center">2 | 3</td><td align="right"></td></tr></table>\n<p>x</p>'
+    assert h("    code <b>\n\n    more\n\ntext") == "<pre><code>code &lt;b&gt;\n\nmore\n</code></pre>\n<p>text</p>"
+    assert h("- a\n\n  ```sh\n  x\n  ```\n- b") == '<ul><li>a\n<pre><code class="language-sh">x\n</code></pre></li><li>b</li></ul>'
+    assert h("mail <https://x.y/z> at www.q.org.") == '<p>mail <a href="https://x.y/z">https://x.y/z</a> at <a href="http://www.q.org">www.q.org</a>.</p>'
+    assert h("-\n- ") and h("1)\n") and h("* * *") == "<hr>"
+
+
+def test_markdown_ends_on_any_input():
+    """Zero bytes stand for nothing of ours, and any mix of marks comes to an end."""
+    assert markdown.to_html("[a]: b\0\n\n[a] \0 0") == '<p><a href="b\ufffd">a</a> \ufffd 0</p>'
+    r = random.Random(1)
+    marks = ["- ", "* ", "1. ", "  ", "    ", "\n", "\n\n", "> ", "# ", "```", "|", "|-|-|", "[a]", "[a]: b", "(c)", "<b>", "x", "\\", "**", "_", "`", "$", "===", "---", "\0"]
+    for _ in range(3000):
+        markdown.to_html("".join(r.choice(marks) for _ in range(r.randint(0, 25))))
+
+
 def iff(name, payload):
     return name + struct.pack(">I", len(payload)) + payload + b"\0" * (len(payload) % 2)
 
