@@ -39,7 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: 5-word shingles, similarity 0.8 or more."""
+    """The document with the smallest id of each group of near copies: SimHash of 5-word shingles, then similarity 0.8 or more."""
     # keys as columns, so the window needs no shuffle of its own
     ids, null, n = (fresh(docs.columns, x) for x in ("_id", "_null", "_n"))
     key = [F.coalesce("doc_id", F.lit(0)).alias(ids), F.col("doc_id").isNull().alias(null)]

@@ -1,7 +1,9 @@
-"""Near-dedup by similarity of shingle sets: MinHash bands find candidates, the sets themselves confirm them.
+"""Near-dedup by similarity of shingle sets: SimHash fingerprints find candidates, the sets themselves confirm them.
 
-Two texts whose sets have Jaccard similarity s share one of the bands but for a chance of
-(1 - s ** ROWS) ** BANDS, which is 0.000003 at 0.8 and less above it.
+Fingerprints are those of simhash.set_print, 256 bits of each set. Of two sets with Jaccard similarity
+0.8 each bit differs with a chance of 0.16 at most (0.19 for 4 shingles within 5), so the
+fingerprints are over RADIUS bits apart, or share no table of simhash.near_groups, with a chance of
+0.000004 at most. More similar sets are closer.
 """
 
 from __future__ import annotations
@@ -15,16 +17,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import small_batches, staged
-from .words import SPACED, Q, Words, chunks, grams, mixed
+from .simhash import BUCKET, FEW, RADIUS, near_groups, set_print
+from .words import SPACED, Words, chunks, grams, mixed
 
 #: Words of a shingle, least similarity of near copies in percent.
 WORDS, PERCENT = 5, 80
-BANDS, ROWS = 24, 4
 #: Texts of one group that a task holds, or compares with one text; more are dealt into cells.
 CELL = 4096
 
-_FLIP, _TIMES = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)), mixed(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)) | np.uint64(1)
-
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     """Of each text the sorted hashes of its shingles; one shingle below `words` words, none without words."""
@@ -35,16 +35,6 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
             yield np.unique(every[a : b - words + 1] if b - a >= words else grams(found.hash[a:b], b - a) if b > a else every[:0])
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    least = np.full(len(_FLIP), ~np.uint64(0))
-    for k in range(0, len(found), 8192):
-        np.minimum(least, ((found[None, k : k + 8192] ^ _FLIP[:, None]) * _TIMES[:, None]).min(1), out=least)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        keys = mixed(keys * np.uint64(Q) + row)
-    return keys
-
-
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -63,10 +53,16 @@ def group_links(ids: list[int], roots: list[int], held: list[np.ndarray], percen
     """
     a, b, root = [], [], np.array(roots)
     names, counts = np.unique(root, return_counts=True)
-    every, sizes = np.concatenate(held), np.array([len(x) for x in held])
-    of = np.repeat(np.arange(len(held)), sizes)
+    sizes = np.array([len(x) for x in held])
+    ends = np.cumsum(sizes)
+    _, shingle, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+    # the members that have each shingle, one shingle after the other
+    of, first = np.repeat(np.arange(len(held)), sizes)[shingle.argsort(kind="stable")], np.cumsum(n) - n
     for i in np.flatnonzero(root != names[counts.argmax()]).tolist():
-        both = np.bincount(of[np.isin(every, held[i])], minlength=len(held))
+        mine = shingle[ends[i] - sizes[i] : ends[i]]
+        mine = mine[n[mine] > 1]
+        many = n[mine]
+        both = np.bincount(of[np.repeat(first[mine] - np.cumsum(many) + many, many) + np.arange(many.sum())], minlength=len(held))
         for j in np.flatnonzero((100 * both >= percent * (sizes + sizes[i] - both)) & (root != root[i])).tolist():
             if root[i] != root[j]:
                 a.append(ids[i]), b.append(ids[j])
@@ -75,8 +71,8 @@ def group_links(ids: list[int], roots: list[int], held: list[np.ndarray], percen
 
 
 def _star_links(met: DataFrame, texts: DataFrame, words: int, percent: int, cell: int) -> DataFrame:
-    """Links of members to the smallest one of their group."""
-    pairs = met.where("fp <> hub").select("hub", "fp").distinct()
+    """Links of members to the smallest one of their group, where the fingerprints are near."""
+    pairs = met.where("near AND fp <> hub").select("hub", "fp").distinct()
     parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("hub")) / cell).cast("long")
     pairs = staged(pairs.select("hub", "fp", F.pmod(F.xxhash64("fp"), parts).alias("cell")), "pairs")
     hubs = pairs.select("hub", F.col("hub").alias("fp"), "cell").distinct()
@@ -124,7 +120,7 @@ def _cross_links(met: DataFrame, roots: DataFrame, texts: DataFrame, words: int,
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, cell: int = CELL, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """One row per input row: id and component_id, the smallest id that links can reach.
 
     Two texts link if their sets of shingles of `words` words have a Jaccard similarity of
@@ -132,27 +128,27 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and texts without a word link with each other. Texts with equal sets are one node, however many
     they are. Null ids take part; a component of null ids only has a null component_id.
 
-    Members of a band are compared with the smallest one first; only where that leaves a band in
-    more than one component are its members compared with each other.
+    Candidates are the groups whose fingerprints link within `radius` bits. The sets near the smallest
+    one of a group are compared with it first; only where that leaves a group in more than one component
+    are its sets compared with each other. RADIUS and the tables are made for 80 percent or more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, keys = np.zeros(batch.num_rows, np.uint64), []
+            prints, bits, few = np.zeros(batch.num_rows, np.uint64), [], np.zeros(batch.num_rows, bool)
             for k, found in enumerate(shingle_sets(batch.column(1), words)):
                 if len(found):
                     prints[k] = mixed(mixed(found).sum(keepdims=True))[0] | np.uint64(1)
-                keys.append(band_keys(found).view(np.int64) if len(found) else found.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], [id_col, "sum", "fp", "keys"])
+                    few[k] = len(found) <= FEW
+                bits.append(set_print(found).view(np.int64) if len(found) else found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64)), pa.array(bits, pa.list_(pa.int64())), pa.array(few)], [id_col, "sum", "fp", "bits", "few"])
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     text = docs.select(id_col, text_col, F.xxhash64(text_col).alias("sum"))
-    prints = staged(text.mapInArrow(run, f"{id_col} {kind}, sum long, fp long, keys array<long>"), "prints")
-    nodes = staged(prints.groupBy("fp").agg(F.min(id_col).alias("first"), F.min_by(F.struct("sum", "keys"), "sum").alias("x")).select("fp", "first", "x.sum", "x.keys"), "nodes")
-    band = Window.partitionBy("key")
-    met = nodes.select("fp", F.explode("keys").alias("key")).withColumn("n", F.count(F.lit(1)).over(band)).withColumn("hub", F.min("fp").over(band))
-    met = staged(met.where("n > 1").select("key", "fp", "hub"), "met")
+    prints = staged(text.mapInArrow(run, f"{id_col} {kind}, sum long, fp long, bits array<long>, few boolean"), "prints")
+    nodes = staged(prints.groupBy("fp").agg(F.min(id_col).alias("first"), F.min_by(F.struct("sum", "bits", "few"), "sum").alias("x")).select("fp", "first", "x.*"), "nodes")
+    met = near_groups(nodes.where(F.size("bits") > 0), radius, bucket)
     needed = nodes.join(met.select("fp").distinct(), "fp").select("fp", "sum")
     texts = staged(docs.select(F.xxhash64(text_col).alias("sum"), F.col(text_col).alias("text")).join(needed, "sum").groupBy("fp").agg(F.first("text").alias("text")), "texts")
     found = staged(_star_links(met, texts, words, percent, cell), "stars")

@@ -71,3 +71,13 @@ def test_stage_finds_copies_of_similarity_0_8(spark):
     kept = {r.doc_id for r in P.near_copies(spark, docs, DATA).collect()}
     assert kept == {d for d, root in brute(rows) if d == root}
     assert 255 not in kept and 770 not in kept  # 7 bits of 64 from docs 1 and 643
+
+
+def test_candidates_come_from_fingerprints(spark):
+    """At radius 0 only equal fingerprints can link; more keys than one lose no link."""
+    r = random.Random(8)
+    words = [[f"w{r.randint(0, 10**6)}" for _ in range(60)] for _ in range(40)]
+    rows = [(2 * i + k, " ".join([*x[: 59 - k], f"end{k}"])) for i, x in enumerate(words) for k in (0, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(x.doc_id, x.component_id) for x in N.near_dedup(frame, radius=0).collect()} == {(d, d) for d, _ in rows}
+    assert {(x.doc_id, x.component_id) for x in N.near_dedup(frame, bucket=20).collect()} == {(d, d - d % 2) for d, _ in rows}

@@ -95,3 +95,54 @@ def test_edges(spark):
     check(spark, [(1, None), (2, ""), (3, " \t"), (7, "a b c d e"), (7, "a b c d e"), (None, "a b c d e"), (None, "q r s t u v"), (9, "w " * 50000)])
     check(spark, [(None, "only nulls here today")])
     assert S.simhash_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def sets_alike(r, a, b, both):
+    """Two sets of a and b random hashes that share `both`."""
+    found = r.integers(0, 2**64, a + b - both, dtype=np.uint64)
+    return np.sort(found[:a]), np.sort(found[a - both :])
+
+
+def test_set_print_and_labels_against_popcount():
+    r = np.random.default_rng(2)
+    one = r.integers(0, 2**64, 9, dtype=np.uint64)
+    bits = [[int(h) >> k & 1 for k in range(64)] for h in S.mixed(one[:, None] ^ S._SALTS).ravel().tolist()]
+    ones = np.array(bits).reshape(9, 256).sum(0)
+    assert (S.bits_of(S.set_print(one)[None])[0] == (ones > 4.5)).all()
+    prints = np.array([S.set_print(x) for _ in range(90) for x in sets_alike(r, 20, 22, int(r.integers(8, 20)))])
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2, dtype=int)
+    for radius in (0, 40, 80, 100):
+        assert (S.near_mask(S.planes_of(prints), prints, radius)[:, : len(prints)] == (apart <= radius)).all()
+        reach = apart <= radius
+        while not (reach == (wider := reach.astype(int) @ reach > 0)).all():
+            reach = wider
+        assert (S.near_labels(prints, radius) == reach.argmax(1)).all()
+
+
+def test_sets_of_similarity_0_8_share_a_table():
+    r = np.random.default_rng(4)
+    for a, b, both in ((4, 5, 4), (9, 9, 8), (12, 15, 12), (13, 14, 12), (90, 90, 80), (400, 500, 400)):
+        pairs = np.array([[S.set_print(x) for x in sets_alike(r, a, b, both)] for _ in range(400)])
+        assert np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]).sum(1, dtype=int).max() <= S.RADIUS
+        for k in (0, 5, 8):
+            places = S.key_bits(k)[: None if a <= S.FEW else S.tables_for(k, S.P_DIFFERS)]
+            assert (S.key_values(pairs[:, 0], places) == S.key_values(pairs[:, 1], places)).any(1).all()
+
+
+def test_groups_of_tables_and_cells(spark):
+    r = np.random.default_rng(6)
+    sets = [x for _ in range(60) for x in sets_alike(r, 45, 45, 40)] + [x for _ in range(30) for x in sets_alike(r, 4, 5, 4)]
+    one = r.integers(0, 2**64, 60, dtype=np.uint64)
+    sets += [np.append(one[:58], r.integers(0, 2**64, 2, dtype=np.uint64)) for _ in range(40)]  # a large group of near copies
+    prints = [S.set_print(x).view(np.int64).tolist() for x in sets]
+    frame = spark.createDataFrame([(i, p, len(x) <= S.FEW) for i, (p, x) in enumerate(zip(prints, sets))], "fp long, bits array<long>, few boolean").cache()
+    assert len(S.key_bits(8)) > S.tables_for(8, S.P_DIFFERS) > S.ROUND  # two rounds
+    for more in ({}, {"bucket": 40}, {"cell": 32}, {"bucket": 1}):
+        groups = {}
+        for key, fp, hub, near in S.near_groups(frame, **more).collect():
+            groups.setdefault((key, hub), set()).add(fp)
+            assert near == (sum(((x ^ y) % 2**64).bit_count() for x, y in zip(prints[fp], prints[hub])) <= S.RADIUS)
+        assert all(min(x) == hub and len(x) > 1 for (_, hub), x in groups.items())
+        assert all(any({i, i + 1} <= x for x in groups.values()) for i in range(0, 180, 2))
+        assert all(any({i, j} <= x for x in groups.values()) for i in range(180, 220) for j in range(180, i))
+    assert S.near_groups(frame.limit(0)).count() == 0
